@@ -62,7 +62,7 @@ _PAIRS = """
 
 _WORDS = r"""
     SELECT {key} AS id, word, row_number() OVER (PARTITION BY {key} ORDER BY nr) AS place FROM (
-        SELECT {key}, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM (
+        SELECT {key}, unnest(words) AS word, generate_subscripts(words, 1) AS nr FROM (
             SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}]+') AS words FROM {table}))"""
 
 _LEAKS = f"""
@@ -74,6 +74,19 @@ _LEAKS = f"""
                   count(*) OVER (PARTITION BY id ORDER BY place ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM iw)
     SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (gram) WHERE dg.n = 10 AND ig.n = 10"""
 
+_STRETCHES = """
+    WITH starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240),
+    stretches AS (SELECT doc_id, i - 1 AS start, md5(substr(text, i, 240)) AS stretch FROM starts),
+    several AS (SELECT stretch FROM stretches GROUP BY stretch HAVING min(doc_id) <> max(doc_id)),
+    shared AS (SELECT * FROM stretches JOIN several USING (stretch))"""
+
+_SPANS = f"""{_STRETCHES},
+    places AS (SELECT DISTINCT doc_id, start FROM shared),
+    fresh AS (SELECT doc_id, start, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) > 240, true)::INT AS f
+              FROM places),
+    numbered AS (SELECT doc_id, start, sum(f) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM fresh),
+    spans AS (SELECT doc_id, min(start) AS start, max(start) - min(start) + 240 AS n_chars FROM numbered GROUP BY doc_id, span)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": f"""
     WITH long AS ({_LONG}), {_FORMS},
@@ -93,6 +106,15 @@ ORACLE: dict[str, str] = {
                 + g(n_total - n_a - n_b + n_ab, (n_total - n_a) * (n_total - n_b), n_total)), 4) AS llr
     FROM named""",
     "p7_found": _LEAKS,
+    "p9_found": f"""{_STRETCHES}
+    SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM shared a JOIN shared b USING (stretch) WHERE a.doc_id < b.doc_id""",
+    "p9_spans": f"{_SPANS} SELECT doc_id, start, n_chars FROM spans",
+    "p9_parts": f"""{_SPANS},
+    found AS (SELECT doc_id, count(*) AS n_spans, sum(n_chars) AS n_shared FROM spans GROUP BY doc_id)
+    SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n_spans, 0) AS n_spans,
+           coalesce(n_shared, 0)::BIGINT AS n_shared,
+           CASE WHEN length(text) > 0 THEN round(coalesce(n_shared, 0)::DOUBLE / length(text), 6) ELSE 0.0 END AS share
+    FROM documents LEFT JOIN found USING (doc_id)""",
 }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import cooccurrence, formatting, frequency, leakage, lookalike
+from cantera.llm import cooccurrence, formatting, frequency, leakage, lookalike, spans
 from cantera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,20 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n=10)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(spans.shared_stretches(table(spark, d, "documents"), min_length=240))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(spans.shared_stretches(table(spark, d, "documents"), min_length=240), min_length=240)
+
+
+def p9_parts(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(table(spark, d, "documents"), p9_spans(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned)
+    for f in (p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned,
+              p9_found, p9_spans, p9_parts)
 }
