@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import cooccurrence, formatting, frequency, leakage, lookalike, spans
+from cantera.llm import canon, cooccurrence, formatting, frequency, leakage, lookalike, spans
 from cantera.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return canon.map_tags_and_moods(
+        table(spark, d, "track_items"), table(spark, d, "processed_tracks"), table(spark, d, "canon_entries")
+    )
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_rows(table(spark, d, "track_items"), "row_id", ["title", "artist"])
 
@@ -85,6 +91,6 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned,
+    for f in (p1_found, p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned,
               p9_found, p9_spans, p9_parts)
 }
