@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import canon, cooccurrence, formatting, frequency, leakage, lookalike, spans
+from cantera.llm import canon, cooccurrence, formatting, frequency, leakage, lookalike, mixing, names, spans
 from cantera.session import table
 
+#: Where the public tokenizer's file lies on every machine.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,6 +30,15 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.spelling_table(table(spark, d, "track_items"), ["title", "artist"])
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    spellings = [table(spark, d, t).select("artist") for t in ("track_items", "processed_tracks")]
+    return names.spelling_classes(spellings[0].unionByName(spellings[1]))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.spelling_pairs(p3_classes(spark, d))
+
+
 def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     tracks = table(spark, d, "track_items")
     counts = frequency.term_frequencies(tracks, "raw_tags")
@@ -77,6 +89,19 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), n=10)
 
 
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = mixing.count_tokens(table(spark, d, "documents").select("doc_id", "source", "text"), "text", TOKENIZER)
+    return mixing.mix(docs, table(spark, d, "source_targets"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(spans.shared_stretches(table(spark, d, "documents"), min_length=240))
 
@@ -91,6 +116,6 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_forms, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned,
-              p9_found, p9_spans, p9_parts)
+    for f in (p1_found, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned,
+              p8_mix, p8_shares, p9_found, p9_spans, p9_parts)
 }
