@@ -24,8 +24,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Union sides that adaptive execution reads in different ways must not be zipped
+    partition by partition, which Spark 4.1 tries where both were hashed alike."""
+    try:
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    except Exception:  # noqa: BLE001 - not a setting of this Spark
+        pass
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One table of a data directory; columns are pruned by the scan."""
+    prepare(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -52,5 +62,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder, so that losing executors costs nothing."""
+    prepare(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
