@@ -485,7 +485,7 @@ ORACLE: dict[str, str] = {
     near AS (SELECT *, row_number() OVER (PARTITION BY grp, target ORDER BY c DESC, rank) AS n FROM lists),
     eff AS (SELECT grp, target, vec_id, c * greatest(0.40::DOUBLE, 1.0::DOUBLE - rank * 0.05::DOUBLE) AS s FROM near WHERE n = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY s DESC, target) AS place FROM eff WHERE s >= 0.2::DOUBLE * 0.80::DOUBLE)
-    SELECT grp, (place - 1)::INT AS place, ({array(TARGETS)})[(target + 1)::INT] AS target, 'tag ' || vec_id AS raw, round(s, 5) AS score FROM r WHERE place <= 3""",
+    SELECT grp, (place - 1)::INT AS place, ({array(TARGETS)})[(target + 1)::INT] AS target, 'tag ' || vec_id AS raw, round(s, 8) AS score FROM r WHERE place <= 3""",
     "write_if_empty": f"""SELECT write_id,
         {", ".join(f"{bar(_merged(new, _OLD.format(f=text(f))))} AS {f}_after" for f, new in _FIELDS.items())},
         (coalesce(file_path, '') <> '' AND {_EXT} IN ('.mp3', '.flac', '.m4a', '.mp4') AND ({_CHANGED})) AS changed, modified FROM tag_writes""",

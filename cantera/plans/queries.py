@@ -445,7 +445,7 @@ def best_pair_match(spark: SparkSession, d: str) -> DataFrame:
 def rank_weighted_similarity(spark: SparkSession, d: str) -> DataFrame:
     found = matcher.match_tags(F.col("tags"), matcher.Vocabulary(TARGETS), k=3, similarity=F.col("sims"), threshold=0.2)
     rows = _compared(spark, d).select("grp", F.posexplode(found).alias("place", "m"))
-    return rows.select("grp", "place", "m.target", "m.raw", F.round("m.score", 5).alias("score"))
+    return rows.select("grp", "place", "m.target", "m.raw", F.round("m.score", 8).alias("score"))
 
 
 # Merges and state
