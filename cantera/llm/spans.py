@@ -112,8 +112,9 @@ def _bounds(h: np.ndarray, levels: list[np.ndarray], centre: np.ndarray, t: int)
     return left[wide], centre[wide], right[wide]
 
 
-def _pieces(starts: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """Cuts a batch into pieces of about CHUNK characters: (first text, end text, from, to).
+def _pieces(starts: np.ndarray, least: int, chunk: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Cuts a batch into pieces of about ``chunk`` characters: (first text, end text,
+    from, to, end of the places at which this piece's stretches start).
 
     Short texts go together; a longer one is cut so that each stretch of ``least``
     characters lies wholly in the piece that holds its start.
@@ -121,23 +122,23 @@ def _pieces(starts: np.ndarray, least: int) -> Iterator[tuple[int, int, int, int
     n, a = len(starts) - 1, 0
     while a < n:
         size = starts[a + 1] - starts[a]
-        if size > CHUNK:
-            for at in range(int(starts[a]), int(starts[a + 1]) - least + 1, CHUNK):
-                yield a, a + 1, at, min(int(starts[a + 1]), at + CHUNK + least - 1)
+        if size > chunk:
+            for at in range(int(starts[a]), int(starts[a + 1]) - least + 1, chunk):
+                yield a, a + 1, at, min(int(starts[a + 1]), at + chunk + least - 1), at + chunk
             a += 1
             continue
-        b = max(a + 1, int(np.searchsorted(starts, starts[a] + CHUNK, "right")) - 1)
-        yield a, b, int(starts[a]), int(starts[b])
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + chunk, "right")) - 1)
+        yield a, b, int(starts[a]), int(starts[b]), int(starts[b])
         a = b
 
 
-def _windows(length: int, q: int):
+def _windows(length: int, q: int, chunk: int):
     t = length - q + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cp, starts = code_points(batch.column(2))
-            for a, b, lo, hi in _pieces(starts, length):
+            for a, b, lo, hi, _ in _pieces(starts, length, chunk):
                 h = np.maximum(rolling_hash(cp[lo:hi], q), np.uint64(1))
                 for edge in starts[a + 1 : b] - lo:  # tokens over a border between texts
                     h[max(0, edge - q + 1) : edge] = 0
@@ -155,7 +156,7 @@ def _windows(length: int, q: int):
     return run
 
 
-def _stretches(length: int, q: int):
+def _stretches(length: int, q: int, chunk: int):
     """Windows of a document → the stretches they stand for, with two hashes each and
     the first hash of the stretch one character earlier."""
     t = length - q + 1
@@ -170,8 +171,8 @@ def _stretches(length: int, q: int):
             n = end - begin + 1
             at = np.repeat(starts[owner] + begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.unique(at)
-            for _, _, lo, hi in _pieces(starts, length):
-                here = at[(at >= lo) & (at < min(hi, lo + CHUNK) if hi - lo > CHUNK else at < hi)]
+            for _, _, lo, hi, stop in _pieces(starts, length, chunk):
+                here = at[(at >= lo) & (at < stop)]
                 if not len(here):
                     continue
                 back = max(0, lo - 1)
@@ -190,16 +191,19 @@ def _stretches(length: int, q: int):
     return run
 
 
-def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 240) -> DataFrame:
+def shared_stretches(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 240, chunk: int = CHUNK
+) -> DataFrame:
     """(key1, key2, before, doc_id, start): the stretches of exactly ``min_length`` code
     points in windows whose minimum occurs in several documents. Checkpointed, as both
-    pairs and spans are made from it."""
+    pairs and spans are made from it. Null texts and shorter ones have none; rows with
+    one id and different texts count as parts of one document. Other columns are not read."""
     q = min_length // 2
     rows = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).cast("string").alias("text")
     ).where(F.length("text") >= min_length)
     windows = checkpoint(
-        rows.mapInArrow(_windows(min_length, q), "minimum bigint, doc_id bigint, version bigint, lo int, mid int, hi int")
+        rows.mapInArrow(_windows(min_length, q, chunk), "minimum bigint, doc_id bigint, version bigint, lo int, mid int, hi int")
     )
     several = (
         windows.groupBy("minimum")
@@ -215,7 +219,7 @@ def shared_stretches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return checkpoint(
         rows.join(kept, ["doc_id", "version"])
         .select("doc_id", "text", "windows")
-        .mapInArrow(_stretches(min_length, q), "key1 bigint, key2 bigint, before bigint, doc_id bigint, start int")
+        .mapInArrow(_stretches(min_length, q, chunk), "key1 bigint, key2 bigint, before bigint, doc_id bigint, start int")
     )
 
 
