@@ -124,7 +124,8 @@ def _pieces(starts: np.ndarray, least: int, chunk: int) -> Iterator[tuple[int, i
         size = starts[a + 1] - starts[a]
         if size > chunk:
             for at in range(int(starts[a]), int(starts[a + 1]) - least + 1, chunk):
-                yield a, a + 1, at, min(int(starts[a + 1]), at + chunk + least - 1), at + chunk
+                end = int(starts[a + 1])
+                yield a, a + 1, at, min(end, at + chunk + least - 1), min(end, at + chunk)
             a += 1
             continue
         b = max(a + 1, int(np.searchsorted(starts, starts[a] + chunk, "right")) - 1)
