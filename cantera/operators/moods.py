@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantera.functions.text import any_of, bound, constant, distinct_ignoring_case, one_of, or_empty
 from cantera.operators.gates import mood_tags
-from cantera.operators.matcher import MOODS, Vocabulary, match_tags, targets_of
+from cantera.operators.matcher import MOODS, Vocabulary, match_lists, match_tags, targets_of
 from cantera.plans import vocab as V
 
 
@@ -22,10 +22,16 @@ def _without(moods: Column, values) -> Column:
 def text_moods(
     tags: Column, artist: Column, album: Column, vocabulary: Vocabulary = MOODS, similarity: Column | None = None
 ) -> Column:
-    """Moods named by the track's own tags that pass the gate."""
+    """Moods named by the track's own tags that pass the gate, as one expression."""
     return targets_of(match_tags(mood_tags(tags, artist, album), vocabulary, similarity=similarity))
 
 
+def with_text_moods(df: DataFrame, tags: str, into: str, vocabulary: Vocabulary = MOODS) -> DataFrame:
+    """The same for a column of many rows with ``artist`` and ``album``, by the Arrow matcher."""
+    df = df.withColumn("_kept", mood_tags(F.col(tags), F.col("artist"), F.col("album")))
+    return match_lists(df, {"_found": (("_kept",), vocabulary)}).withColumn(into, targets_of(F.col("_found"))).drop("_kept", "_found")
+
+
 def seeded_moods(subs: Column) -> Column:
     """Moods that styles suggest, in the order of the styles, each once."""
     seeds = constant({k: list(v) for k, v in V.GENRE_MOOD_SEEDS.items()}, "map<string,array<string>>")

@@ -112,7 +112,7 @@ def recording_json_tags(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(tags.alias("tags"), genres.alias("genres"), F.array(F.struct(credit.alias("name"))).alias("artist-credit"))
 
     other = recording(F.lit("Nobody At All"), _named("current_moods"), _named("raw_tags"))
-    own = recording(F.concat("artist", F.lit(" feat. A Guest")), _named("raw_tags"), _named("current_moods"))
+    own = recording(F.concat(normalised(F.col("artist")), F.lit(" feat. A Guest")), _named("raw_tags"), _named("current_moods"))
     body = F.to_json(F.struct(F.array(other, own).alias("recordings")))
     return tracks.select("row_id", joined(payloads.recording_tags(body, F.col("artist"))).alias("tags"))
 
@@ -210,8 +210,9 @@ def random_sample_limit(spark: SparkSession, d: str) -> DataFrame:
 # Matching
 
 
-def _exploded(rows: DataFrame, matches: Column) -> DataFrame:
-    out = rows.select("row_id", F.posexplode(matches).alias("pos", "m"))
+def _exploded(rows: DataFrame, tags: str, vocabulary: matcher.Vocabulary, k: int = 3) -> DataFrame:
+    found = matcher.match_lists(rows.select("row_id", tags), {"found": ((tags,), vocabulary)}, k)
+    out = found.select("row_id", F.posexplode("found").alias("pos", "m"))
     return out.select("row_id", F.col("pos").alias("place"), "m.target", "m.raw", F.round("m.score", 6).alias("score"))
 
 
@@ -224,33 +225,32 @@ def lexical_match_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def primary_genre_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(tags_of(spark, d), matcher.match_tags(F.col("raw_tags"), matcher.PRIMARY))
+    return _exploded(tags_of(spark, d), "raw_tags", matcher.PRIMARY)
 
 
 @query
 def subgenre_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(lib.drawn_library(spark, d), matcher.match_tags(F.col("all_tags"), matcher.SUB))
+    return _exploded(lib.drawn_library(spark, d), "all_tags", matcher.SUB)
 
 
 @query
 def mood_lexical_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(lib.drawn_library(spark, d), matcher.match_tags(F.col("all_tags"), matcher.MOODS))
+    return _exploded(lib.drawn_library(spark, d), "all_tags", matcher.MOODS)
 
 
 @query
 def mood_tag_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(lib.drawn_library(spark, d), matcher.match_tags(F.col("all_tags"), matcher.MOOD_TAGS, k=5))
+    return _exploded(lib.drawn_library(spark, d), "all_tags", matcher.MOOD_TAGS, k=5)
 
 
 @query
 def primary_genre_vote(spark: SparkSession, d: str) -> DataFrame:
-    return lib.drawn_library(spark, d).select("row_id", genre.primary_genre(F.col("all_tags")).alias("genre"))
+    return genre.with_primary_genre(lib.drawn_library(spark, d), "all_tags").select("row_id", "genre")
 
 
 def _styled(spark: SparkSession, d: str) -> DataFrame:
     rows = lib.drawn_library(spark, d).join(lib.latest_tempo(spark, d), "rating_key", "left")
-    rows = rows.withColumn("genre", genre.primary_genre(F.col("all_tags")))
-    rows = rows.withColumn("sub_genres", genre.sub_genres(F.col("specific_tags"), F.col("all_tags")))
+    rows = genre.with_sub_genres(genre.with_primary_genre(rows, "all_tags"), "specific_tags", "all_tags")
     return rows.withColumn("bpm", audio.whole_bpm(F.col("raw_bpm")))
 
 
@@ -282,9 +282,9 @@ def _mooded(spark: SparkSession, d: str) -> DataFrame:
     tops = lib.recordings(spark, d).select("key", "top", audio.audio_moods(F.col("top"), F.lit(None).cast("int")).alias("heard"))
     rows = _styled(spark, d).withColumn("key", (F.col("row_id") % 10).cast("int"))
     rows = rows.join(F.broadcast(tops), "key", "left")  # one row for each of the ten labels
-    text = moods.text_moods(F.col("specific_tags"), F.col("artist"), F.col("album"))
+    rows = moods.with_text_moods(rows, "specific_tags", "text")
     audible = F.when(F.col("row_id") % 3 != 0, F.col("heard.accepted"))
-    return rows.withColumn("text", text).withColumn("audio", or_empty(audible))
+    return rows.withColumn("audio", or_empty(audible))
 
 
 @query

@@ -9,9 +9,12 @@ from cantera.plans import vocab as V
 from tests.slow_matcher import match
 
 
-def matched(spark, lists, vocabulary, k=3, **more):
+def matched(spark, lists, vocabulary, k=3):
+    """By expression and by Arrow pass, which have to agree."""
     df = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "i int, tags array<string>")
-    rows = df.select("i", matcher.match_tags(F.col("tags"), vocabulary, k, **more).alias("m")).orderBy("i").collect()
+    both = matcher.match_lists(df, {"listed": (("tags",), vocabulary)}, k)
+    rows = both.select("i", "listed", matcher.match_tags(F.col("tags"), vocabulary, k).alias("m")).orderBy("i").collect()
+    assert all(r.m == r.listed for r in rows)
     return [[(m.target, m.raw, round(m.score, 9)) for m in r.m] for r in rows]
 
 
