@@ -31,21 +31,26 @@ def tags_of(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return table(spark, d, "track_items").select("row_id", "raw_tags", *more)
 
 
+def _tagged(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The library's columns that enrichment reads; the Arrow pass carries what it is given."""
+    return lib.library(spark, d).select("row_id", "artist", "album", "specific_tags", "all_tags", "raw_bpm", *more)
+
+
 @query
 def flagship_enrich(spark: SparkSession, d: str) -> DataFrame:
-    out = plan.enrich(lib.library(spark, d))
+    out = plan.enrich(_tagged(spark, d))
     return out.select("row_id", "genre", joined("sub_genres").alias("sub_genres"), "bpm", joined("moods").alias("moods"),
                       "mapped_mood", "confidence")
 
 
 @query
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return plan.run_summary(plan.enrich(lib.library(spark, d)))
+    return plan.run_summary(plan.enrich(_tagged(spark, d)))
 
 
 @query
 def before_after_report(spark: SparkSession, d: str) -> DataFrame:
-    out = plan.report(plan.enrich(lib.library(spark, d)).withColumn("rating_key", F.col("row_id").cast("string")))
+    out = plan.report(plan.enrich(_tagged(spark, d, "title", "current_moods")).withColumn("rating_key", F.col("row_id").cast("string")))
     return out.select("rating_key", "genres_before", "genres_after", "moods_before", "moods_after", "bpm_after")
 
 
