@@ -10,7 +10,8 @@ have a compact window with the same minimum around it: joining windows on their
 minimum, and the intervals around it, misses no stretch. More hash functions would
 only be needed for stretches that differ in places.
 
-Windows whose minimum occurs in one document only are dropped before anything
+A window is cut in two, and a second token half a stretch off the centre joins the
+minimum in its signature. Signatures of one document only are dropped before anything
 larger moves. Each remaining window is verified over its interval: every stretch of
 min_length characters that it stands for gets a 128-bit hash, and documents meet only
 on equal stretches, so a minimum shared by many unrelated documents (in a standing
@@ -112,6 +113,26 @@ def _bounds(h: np.ndarray, levels: list[np.ndarray], centre: np.ndarray, t: int)
     return left[wide], centre[wide], right[wide]
 
 
+def _halves(h: np.ndarray, left: np.ndarray, centre: np.ndarray, right: np.ndarray, t: int):
+    """(signature, centre, first, last): compact windows cut in two by where their
+    subsequences of t tokens start.
+
+    Those that start half of t or more before the centre also hold the token there, the
+    others the token as far behind the centre. Either token goes into the signature, so
+    documents have to share most of a stretch before anything is made of it.
+    """
+    half = (t - 1) // 2
+    first, last = np.maximum(left, centre - t + 1), np.minimum(centre, right - t + 1)
+    parts = []
+    for begin, end, at in ((first, np.minimum(last, centre - half), centre - half), (np.maximum(first, centre - half), last, centre + half)):
+        ok = begin <= end
+        salt = np.uint64(1 + 2 * len(parts))
+        with np.errstate(over="ignore"):
+            sign = _mix(h[centre[ok]] * np.uint64(3) + _mix(h[at[ok]] + salt))
+        parts.append((sign, centre[ok], begin[ok], end[ok]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def _pieces(starts: np.ndarray, least: int, chunk: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Cuts a batch into pieces of about ``chunk`` characters: (first text, end text,
     from, to, end of the places at which this piece's stretches start).
@@ -144,31 +165,30 @@ def _windows(length: int, q: int, chunk: int):
                 for edge in starts[a + 1 : b] - lo:  # tokens over a border between texts
                     h[max(0, edge - q + 1) : edge] = 0
                 left, centre, right = compact_windows(h, t)
+                sign, centre, first, last = _halves(h, left, centre, right, t)
                 text = np.searchsorted(starts, centre + lo, "right") - 1
                 base = starts[text] - lo
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h[centre].view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)),
-                        *(pa.array((x - base).astype(np.int32)) for x in (left, centre, right)),
+                        pa.array(sign.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)),
+                        *(pa.array((x - base).astype(np.int32)) for x in (first, last)),
                     ],
-                    names=["minimum", "doc_id", "version", "lo", "mid", "hi"],
+                    names=["signature", "doc_id", "version", "first", "last"],
                 )
 
     return run
 
 
-def _stretches(length: int, q: int, chunk: int):
+def _stretches(length: int, chunk: int):
     """Windows of a document → the stretches they stand for, with two hashes each and
     the first hash of the stretch one character earlier."""
-    t = length - q + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cp, starts = code_points(batch.column(1))
             lists = batch.column(2)
             owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            lo, mid, hi = (pc.list_flatten(lists).field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            begin, end = np.maximum(lo, mid - t + 1), np.minimum(mid, hi - t + 1)
+            begin, end = (pc.list_flatten(lists).field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
             n = end - begin + 1
             at = np.repeat(starts[owner] + begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.unique(at)
@@ -196,7 +216,7 @@ def shared_stretches(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 240, chunk: int = CHUNK
 ) -> DataFrame:
     """(key1, key2, before, doc_id, start): the stretches of exactly ``min_length`` code
-    points in windows whose minimum occurs in several documents. Checkpointed, as both
+    points in windows whose signature occurs in several documents. Checkpointed, as both
     pairs and spans are made from it. Null texts and shorter ones have none; rows with
     one id and different texts count as parts of one document. Other columns are not read."""
     q = min_length // 2
@@ -204,23 +224,23 @@ def shared_stretches(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).cast("string").alias("text")
     ).where(F.length("text") >= min_length)
     windows = checkpoint(
-        rows.mapInArrow(_windows(min_length, q, chunk), "minimum bigint, doc_id bigint, version bigint, lo int, mid int, hi int")
+        rows.mapInArrow(_windows(min_length, q, chunk), "signature bigint, doc_id bigint, version bigint, first int, last int")
     )
     several = (
-        windows.groupBy("minimum")
+        windows.groupBy("signature")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         .where("a <> b")
-        .select("minimum")
+        .select("signature")
     )
     kept = (
-        windows.join(several, "minimum", "left_semi")
+        windows.join(several, "signature", "left_semi")
         .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("lo", "mid", "hi")).alias("windows"))  # at most the document's own
+        .agg(F.collect_list(F.struct("first", "last")).alias("windows"))  # at most the document's own
     )
     return checkpoint(
         rows.join(kept, ["doc_id", "version"])
         .select("doc_id", "text", "windows")
-        .mapInArrow(_stretches(min_length, q, chunk), "key1 bigint, key2 bigint, before bigint, doc_id bigint, start int")
+        .mapInArrow(_stretches(min_length, chunk), "key1 bigint, key2 bigint, before bigint, doc_id bigint, start int")
     )
 
 
