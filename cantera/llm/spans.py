@@ -250,7 +250,7 @@ def shared_pairs(stretches: DataFrame) -> DataFrame:
     Only at a stretch before which the two texts differ, or one begins, is the pair
     made: every shared passage has one such stretch.
     """
-    members = stretches.select("key1", "key2", "before", "doc_id").distinct()
+    members = stretches.select("key1", "key2", "before", "doc_id")
     forks = (
         members.groupBy("key1", "key2")
         .agg(
