@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cantera.llm import canon
 from cantera.llm.lookalike import LOOKALIKES
 
 
@@ -87,7 +88,53 @@ _SPANS = f"""{_STRETCHES},
     numbered AS (SELECT doc_id, start, sum(f) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM fresh),
     spans AS (SELECT doc_id, min(start) AS start, max(start) - min(start) + 240 AS n_chars FROM numbered GROUP BY doc_id, span)"""
 
+def _squash(column: str) -> str:
+    before, after = canon._letters()
+    return f"translate(regexp_replace(lower({column}), '\\p{{M}}', '', 'g'), {_quoted(before)}, {_quoted(after)})"
+
+
+def _voiceless(x: str) -> str:
+    return f"(left({x}, 1) || regexp_replace(substr({x}, 2), '[aeiou]', '', 'g'))"
+
+
+_BEFORE, _AFTER = (f"({'|'.join(w)})" for w in (canon.BEFORE, canon.AFTER))
+_P = "generate_subscripts(p, 1)"
+
+#: Every typed value against every form of every entry, by edit distance alone.
+_MAPPED = f"""
+    WITH occurrences AS (
+        SELECT 'raw_tags' AS field, 'any' AS allowed, row_id AS rec_id, (generate_subscripts(raw_tags, 1) - 1)::INT AS pos, unnest(raw_tags) AS value
+        FROM track_items
+        UNION ALL SELECT 'mapped_mood', 'mood', result_id, 0, mapped_mood FROM processed_tracks),
+    open AS (SELECT * FROM occurrences WHERE value IS NOT NULL AND value NOT IN (SELECT label FROM canon_entries)),
+    parts AS (SELECT entry_id, kind, list_transform(list_filter(string_split_regex({_squash("label")}, '\\s+'), lambda x: x <> ''),
+                     lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')) AS p FROM canon_entries),
+    places AS (SELECT entry_id, kind, p, {_P} AS i, unnest(p) AS part FROM parts),
+    short AS (SELECT entry_id, kind, p, i, {_voiceless("part")} AS s FROM places
+              UNION ALL SELECT entry_id, kind, p, i, left(part, unnest([3, 4, 5])) FROM places WHERE len(p) > 1),
+    every AS (SELECT entry_id, kind, 0 AS rank, array_to_string(p, '') AS form FROM parts
+              UNION ALL SELECT entry_id, kind, 1, p[-1] || array_to_string(p[1:-2], '') FROM parts WHERE len(p) > 1
+              UNION ALL SELECT entry_id, kind, 2, array_to_string(list_transform(p, lambda x, j: CASE WHEN j = i THEN s ELSE x END), '') FROM short
+              UNION ALL SELECT entry_id, kind, 2, array_to_string(list_transform(p, lambda x: {_voiceless("x")}), '') FROM parts),
+    forms AS (SELECT entry_id, kind, form, min(rank) AS rank,
+                     CASE WHEN min(rank) < 2 THEN least({canon.MOST_ERRORS}, (length(form) - 1) // 2) WHEN length(form) >= 7 THEN 1 ELSE 0 END AS k
+              FROM every WHERE length(form) > 2 GROUP BY entry_id, kind, form),
+    known AS (SELECT list(DISTINCT w) AS words FROM (SELECT unnest(string_split_regex(lower(label), '[^a-z0-9]+')) AS w FROM canon_entries)),
+    clean AS (SELECT DISTINCT allowed, value, list_filter(string_split_regex({_squash("value")}, '[^a-z0-9]+'), lambda x: x <> '') AS words,
+                     regexp_replace({_squash("value")}, '[^a-z0-9]', '', 'g') AS whole FROM open),
+    typed AS (SELECT DISTINCT allowed, value, words, unnest([whole, regexp_replace(whole, '^{_BEFORE}', ''), regexp_replace(whole, '{_AFTER}$', ''),
+                     regexp_replace(regexp_replace(whole, '^{_BEFORE}', ''), '{_AFTER}$', '')]) AS t FROM clean),
+    near AS (SELECT t, entry_id, kind, rank, levenshtein(t, form) AS d FROM (SELECT DISTINCT t FROM typed WHERE length(t) BETWEEN 3 AND 200), forms
+             WHERE abs(length(t) - length(form)) <= k AND levenshtein(t, form) <= k),
+    hits AS (SELECT allowed, value, entry_id, (d, rank) AS cost FROM typed JOIN near USING (t), known
+             WHERE (allowed = 'any' OR kind = allowed) AND (d = 0 OR NOT list_has_all(known.words, typed.words))),
+    best AS (SELECT allowed, value, min(cost) AS cost FROM hits GROUP BY allowed, value),
+    chosen AS (SELECT allowed, value, min(entry_id) AS entry_id FROM hits JOIN best USING (allowed, value, cost)
+               GROUP BY allowed, value HAVING count(DISTINCT entry_id) = 1)
+    SELECT field, rec_id, pos, coalesce(entry_id, -1) AS entry_id FROM open LEFT JOIN chosen USING (allowed, value)"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": _MAPPED,
     "p2_found": f"""
     WITH long AS ({_LONG}), {_FORMS},
     lead AS (SELECT field, form, min(first_row) AS row_a, arg_min(value, first_row) AS kept FROM forms GROUP BY field, form)
