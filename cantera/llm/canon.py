@@ -171,8 +171,13 @@ FROM {occurrences} o JOIN {mapped} m ON o.allowed = m.field AND o.value = m.valu
 
 
 def map_tags_and_moods(tracks: DataFrame, results: DataFrame, entries: DataFrame) -> DataFrame:
-    """(field, rec_id, pos, entry_id) for every typed value that is not exactly a label."""
+    """(field, rec_id, pos, entry_id) for every typed value that is not exactly a label.
+
+    Null lists, elements and moods are no values; other columns are not read.
+    """
     spark = tracks.sparkSession
+    tracks, results = tracks.select("row_id", "raw_tags"), results.select("result_id", "mapped_mood")
+    entries = entries.select("entry_id", "kind", "label")
     occurrences = spark.sql(OCCURRENCES_SQL, tracks=tracks, results=results)
     occurrences = spark.sql(UNLISTED_SQL, occurrences=occurrences, entries=entries)
     mapped = map_values(occurrences.selectExpr("allowed as field", "value"), entries)

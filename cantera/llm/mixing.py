@@ -28,9 +28,10 @@ def count_tokens(docs: DataFrame, text: str, tokenizer: str, into: str = "n_toke
     """``docs`` without its text, with the number of tokens of the whole text.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read. Null
-    and empty texts have no tokens; strings of special tokens count as ordinary text.
+    and empty texts have no tokens; strings of special tokens count as ordinary text. A
+    column of the new column's name is replaced.
     """
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in docs.columns if c not in (text, into)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,6 +78,7 @@ def test_the_pigeonhole_join_misses_nothing(spark):
 
 def test_places_of_typed_values(spark):
     tracks = spark.createDataFrame([(1, ["copper punk", None, "coper punk"]), (2, None), (3, []), (4, ["zzz", "zzz"])], "row_id long, raw_tags array<string>")
+    tracks = tracks.withColumns({"value": F.lit(1), "pos": F.lit(2), "label": F.lit("x")})
     results = spark.createDataFrame([(9, "sunlti"), (8, None), (7, "coper punk"), (6, "sunlit")], "result_id long, mapped_mood string")
     entries = spark.createDataFrame(ENTRIES, "entry_id int, kind string, label string")
     got = {tuple(r) for r in canon.map_tags_and_moods(tracks, results, entries).collect()}

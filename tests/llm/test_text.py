@@ -231,6 +231,6 @@ def test_token_counts(spark):
         pytest.skip("no tokenizer file here")
     encoder.encode_special_tokens = True
     texts = ["", None, "plain words", "é 字 <|endoftext|>", "word " * 50_000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit(-1))
     got = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "text", path).collect()}
     assert got == {i: len(encoder.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
