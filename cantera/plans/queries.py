@@ -397,8 +397,8 @@ def audio_matched_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audio_genre_labels(spark: SparkSession, d: str) -> DataFrame:
-    labels = list(lib.GENRE_LABELS)
-    ranked = audio.top_classes(lib.predictions(spark, d).where(F.col("class") < len(labels)), "key")
+    labels = [lib.GENRE_LABELS[i % len(lib.GENRE_LABELS)] for i in range(len(lib.LABELS))]
+    ranked = audio.top_classes(lib.predictions(spark, d), "key")
     rows = audio.top_labels(ranked, "key", labels).withColumn("r", audio.audio_genres(F.col("top")))
     return rows.select("key", F.col("r.genre").alias("genre"), joined("r.sub_genres").alias("sub_genres"))
 
