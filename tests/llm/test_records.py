@@ -127,6 +127,27 @@ def test_names(spark, cap):
     assert found.count() == len(flat)
 
 
+def test_crowded_endings_lose_no_pair(spark):
+    """Against all pairs: whatever is linked and shares an ending is met, however many share it."""
+    own = random.Random(5)
+    made = {"maira garcia", "maria garcia", "cate garcia", "kate garcia", "garcia", "m garcia", "mgt garcia", "margarita garcia", "mar ia garcia", "mariagarcia"}
+    made |= {f"{''.join(own.choice('bdfghjklnprstvwz') for _ in range(6))} garcia" for _ in range(60)}
+    for _ in range(150):
+        words = [w for w in own.choice([["marolin", "garcia"], ["garcia", "lantern", "quartet"], ["ensemble", "bortolomeinski"], ["zoe", "garcia"]])]
+        for _ in range(own.randint(0, 3)):
+            at = own.randrange(len(words))
+            i = own.randrange(len(words[at]) + 1)
+            words[at] = words[at][:i] + own.choice(["", " ", "a", "m"]) + words[at][i + own.randint(0, 1) :]
+        own.shuffle(words)
+        made.add(" ".join(" ".join(words).split()))
+    made = sorted(made)
+    got = {tuple(r) for r in names.candidate_pairs(spark.createDataFrame([(n, n.split()) for n in made], "name string, words array<string>")).collect()}
+    ends = {n: {w[-4:] for w in n.split() if len(w) >= 4} for n in made}
+    linked = {(a, b) for a, b in combinations(made, 2) if ends[a] & ends[b] and names.same_name(a, b)[0]}
+    assert ("maira garcia", "maria garcia") in linked and not linked - got
+    assert len(got) < len(made) * (len(made) - 1) / 4
+
+
 def test_ambiguous_short_forms_link_nobody(spark):
     got = classes(spark, ["Marolin Tavekrosto", "Moberust Tavekrosto", "M. Tavekrosto"])
     assert len({r.label for r in got.collect()}) == 3
