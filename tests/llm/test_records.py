@@ -148,6 +148,14 @@ def test_crowded_endings_lose_no_pair(spark):
     assert len(got) < len(made) * (len(made) - 1) / 4
 
 
+def test_names_of_short_words(spark):
+    groups = [["Kate Bush", "Bush, Kate", "K. Bush", "Kate Bsuh", "Kate M. Bush"], ["Nick Cave", "Cave, Nick"], ["Jay Z", "Z, Jay"], ["Max Roy", "Roy, Max", "M. Roy"],
+              ["Kyle Rush"], ["Rush"], ["Bush"], ["K. Fox"], ["Kate Fox"], ["Kyle Fox"]]
+    for cap in (40, 1):
+        found = classes(spark, [s for g in groups for s in g], cap=cap)
+        assert {tuple(r) for r in names.spelling_pairs(found).collect()} == {p for g in groups for p in combinations(sorted(g), 2)}
+
+
 def test_ambiguous_short_forms_link_nobody(spark):
     got = classes(spark, ["Marolin Tavekrosto", "Moberust Tavekrosto", "M. Tavekrosto"])
     assert len({r.label for r in got.collect()}) == 3
