@@ -103,11 +103,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_pairs(spans.shared_stretches(table(spark, d, "documents"), min_length=240))
+    return spans.shared_pairs(*spans.shared_passages(table(spark, d, "documents"), min_length=240))
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_spans(spans.shared_stretches(table(spark, d, "documents"), min_length=240), min_length=240)
+    return spans.shared_spans(*spans.shared_passages(table(spark, d, "documents"), min_length=240), min_length=240)
 
 
 def p9_parts(spark: SparkSession, d: str) -> DataFrame:

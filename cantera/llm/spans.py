@@ -5,18 +5,20 @@ a mixed 64-bit hash. A document's Cartesian tree over these hashes groups its
 subsequences of t = min_length - q + 1 tokens by their minimum: the compact window
 (left, centre, right) stands for every such subsequence inside [left, right] whose
 minimum lies at ``centre``, and there are about 2n / t of them. A shared stretch
-holds the same subsequence in both documents, so under any one hash function both
-have a compact window with the same minimum around it: joining windows on their
-minimum, and the intervals around it, misses no stretch. More hash functions would
-only be needed for stretches that differ in places.
-
-A window is cut in two, and a second token half a stretch off the centre joins the
-minimum in its signature. Signatures of one document only are dropped before anything
-larger moves. Each remaining window is verified over its interval: every stretch of
-min_length characters that it stands for gets a 128-bit hash, and documents meet only
-on equal stretches, so a minimum shared by many unrelated documents (in a standing
-footer, say) pairs none of them. A pair of documents is made at the first stretch of
-each passage they share and not again at the following ones.
+holds the same subsequence in both documents, so under every hash function both have
+a compact window with the same minimum around it.
+
+Windows are intervals of places at which a stretch may start. Signatures of one
+document only are dropped first. The windows that are left get the text of their
+interval, meet by signature where their intervals overlap, and are verified by comparing that
+text around the common minimum: what is equal is one row, however many stretches it holds.
+
+For verbatim stretches one hash function finds everything. More are used where more than
+``cap`` windows share a signature (near-standing footers, formulas): each
+further hash, over longer tokens, cuts a window's interval by its own minima and joins
+the signature, so that windows only stay together if they share more of a stretch. What is
+still crowded after the last hash is grouped by the stretches themselves, and a
+class of equal stretches is left as a class: no pairs are made of it here.
 """
 
 from __future__ import annotations
@@ -29,12 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cantera.session import checkpoint
+from cantera.session import written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Characters handled at once: bounds the memory of a task for texts of any length.
 CHUNK = 1 << 18
+#: Bits of the filter on document ids: at most 8 MB are broadcast, however many documents there are.
+FILTER_BITS = 1 << 26
+CONTEXT = "signature bigint, doc_id bigint, centre int, first int, context string"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -113,26 +118,6 @@ def _bounds(h: np.ndarray, levels: list[np.ndarray], centre: np.ndarray, t: int)
     return left[wide], centre[wide], right[wide]
 
 
-def _halves(h: np.ndarray, left: np.ndarray, centre: np.ndarray, right: np.ndarray, t: int):
-    """(signature, centre, first, last): compact windows cut in two by where their
-    subsequences of t tokens start.
-
-    Those that start half of t or more before the centre also hold the token there, the
-    others the token as far behind the centre. Either token goes into the signature, so
-    documents have to share most of a stretch before anything is made of it.
-    """
-    half = (t - 1) // 2
-    first, last = np.maximum(left, centre - t + 1), np.minimum(centre, right - t + 1)
-    parts = []
-    for begin, end, at in ((first, np.minimum(last, centre - half), centre - half), (np.maximum(first, centre - half), last, centre + half)):
-        ok = begin <= end
-        salt = np.uint64(1 + 2 * len(parts))
-        with np.errstate(over="ignore"):
-            sign = _mix(h[centre[ok]] * np.uint64(3) + _mix(h[at[ok]] + salt))
-        parts.append((sign, centre[ok], begin[ok], end[ok]))
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
 def _pieces(starts: np.ndarray, least: int, chunk: int) -> Iterator[tuple[int, int, int, int, int]]:
     """Cuts a batch into pieces of about ``chunk`` characters: (first text, end text,
     from, to, end of the places at which this piece's stretches start).
@@ -159,98 +144,279 @@ def _windows(length: int, q: int, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cp, starts = code_points(batch.column(2))
+            cp, starts = code_points(batch.column(1))
             for a, b, lo, hi, _ in _pieces(starts, length, chunk):
                 h = np.maximum(rolling_hash(cp[lo:hi], q), np.uint64(1))
                 for edge in starts[a + 1 : b] - lo:  # tokens over a border between texts
                     h[max(0, edge - q + 1) : edge] = 0
                 left, centre, right = compact_windows(h, t)
-                sign, centre, first, last = _halves(h, left, centre, right, t)
+                first, last = np.maximum(left, centre - t + 1), np.minimum(centre, right - t + 1)
                 text = np.searchsorted(starts, centre + lo, "right") - 1
                 base = starts[text] - lo
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(sign.view(np.int64)), batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)),
-                        *(pa.array((x - base).astype(np.int32)) for x in (first, last)),
+                        pa.array(h[centre].view(np.int64)), batch.column(0).take(pa.array(text)),
+                        *(pa.array((x - base).astype(np.int32)) for x in (centre, first, last)),
                     ],
-                    names=["signature", "doc_id", "version", "first", "last"],
+                    names=["signature", "doc_id", "centre", "first", "last"],
                 )
 
     return run
 
 
-def _stretches(length: int, chunk: int):
-    """Windows of a document → the stretches they stand for, with two hashes each and
-    the first hash of the stretch one character earlier."""
+def _contexts(length: int):
+    """Windows of a document → one row each with the text of its stretches and one
+    character before them. Where rows share an id, a window may get another row's
+    text; whatever is found equal in it is shared all the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cp, starts = code_points(batch.column(1))
             lists = batch.column(2)
-            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            begin, end = (pc.list_flatten(lists).field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-            n = end - begin + 1
-            at = np.repeat(starts[owner] + begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.unique(at)
-            for _, _, lo, hi, stop in _pieces(starts, length, chunk):
-                here = at[(at >= lo) & (at < stop)]
-                if not len(here):
-                    continue
-                back = max(0, lo - 1)
-                one, two = (rolling_hash(cp[back:hi], length, seed).view(np.int64) for seed in (0, 1))
-                text = np.searchsorted(starts, here, "right") - 1
-                start = here - starts[text]
-                before = pa.array(one[np.maximum(here - back - 1, 0)], mask=start == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one[here - back]), pa.array(two[here - back]), before,
-                        batch.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)),
-                    ],
-                    names=["key1", "key2", "before", "doc_id", "start"],
-                )
+            owner = pc.list_parent_indices(lists)
+            inner = pc.list_flatten(lists)
+            sign, centre, first, last = (inner.field(k) for k in range(4))
+            texts = batch.column(1).to_pylist()
+            places = zip(owner.to_pylist(), first.to_pylist(), last.to_pylist())
+            context = pa.array([texts[i][max(a - 1, 0) : b + length] for i, a, b in places], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [sign, batch.column(0).take(owner), centre, first, context], names=["signature", "doc_id", "centre", "first", "context"]
+            )
 
     return run
 
 
-def shared_stretches(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 240, chunk: int = CHUNK
-) -> DataFrame:
-    """(key1, key2, before, doc_id, start): the stretches of exactly ``min_length`` code
-    points in windows whose signature occurs in several documents. Checkpointed, as both
-    pairs and spans are made from it. Null texts and shorter ones have none; rows with
-    one id and different texts count as parts of one document. Other columns are not read."""
-    q = min_length // 2
-    rows = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).cast("string").alias("text")
-    ).where(F.length("text") >= min_length)
-    windows = checkpoint(
-        rows.mapInArrow(_windows(min_length, q, chunk), "signature bigint, doc_id bigint, version bigint, first int, last int")
-    )
-    several = (
-        windows.groupBy("signature")
-        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+class _Rows:
+    """Context rows of a batch as code points: where each row's text lies in them and
+    which place of its document it begins at."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.cp, self.starts = code_points(batch.column(4))
+        self.centre, self.first = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+        self.begin = np.maximum(self.first - 1, 0)
+        self.doc = batch.column(1).to_numpy(zero_copy_only=False)
+        self.key = batch.column(0).to_numpy(zero_copy_only=False)
+
+
+def _group_pairs(key: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of equal neighbouring keys, about ``limit`` at a time."""
+    left = np.searchsorted(key, key, "right") - np.arange(len(key)) - 1
+    bounds = np.concatenate([[0], np.cumsum(left)])
+    at = 0
+    while at < len(key):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+        n = left[at:to]
+        i = np.repeat(np.arange(at, to), n)
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        at = to
+
+
+def _equal_around(r: _Rows, i: np.ndarray, j: np.ndarray, t: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many characters before and from the centre on are equal in two rows each."""
+    reach = np.arange(1 - t, length)
+
+    def chars(x: np.ndarray, missing: int) -> np.ndarray:
+        at = (r.starts[x] + r.centre[x] - r.begin[x])[:, None] + reach
+        inside = (at >= r.starts[x][:, None]) & (at < r.starts[x + 1][:, None])
+        return np.where(inside, r.cp[np.clip(at, 0, len(r.cp) - 1)], missing)
+
+    same = chars(i, 0xFFFFFFFF) == chars(j, 0xFFFFFFFE)
+    wall = np.zeros((len(i), 1), bool)
+    before = np.argmin(np.concatenate([same[:, : t - 1][:, ::-1], wall], axis=1), axis=1)
+    after = np.argmin(np.concatenate([same[:, t - 1 :], wall], axis=1), axis=1)
+    return before, after
+
+
+def _matches(length: int, q: int):
+    """Context rows sorted by signature → (doc_a, start_a, doc_b, start_b, n_chars) of
+    every two windows that hold at least ``length`` equal characters around their centre."""
+    t = length - q + 1
+
+    def match(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not batch.num_rows:
+            return
+        r = _Rows(batch)
+        size = np.diff(r.starts)
+        last = r.begin + size - length  # the last place a stretch of the row starts at
+        for i, j in _group_pairs(r.key, 4096):
+            low = np.maximum((r.first - r.centre)[i], (r.first - r.centre)[j])
+            high = np.minimum((last - r.centre)[i], (last - r.centre)[j])
+            ok = (low <= high) & (r.doc[i] != r.doc[j])
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            swap = r.doc[i] > r.doc[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            before, after = _equal_around(r, i, j, t, length)
+            ok = before + after >= length
+            i, j, before, n = i[ok], j[ok], before[ok], (before + after)[ok]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(r.doc[i]), pa.array((r.centre[i] - before).astype(np.int32)),
+                    pa.array(r.doc[j]), pa.array((r.centre[j] - before).astype(np.int32)), pa.array(n.astype(np.int32)),
+                ],
+                names=["doc_a", "start_a", "doc_b", "start_b", "n_chars"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last signature's rows, at most the cap
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            edge = int(np.searchsorted(key, key[-1], "left"))
+            yield from match(batch.slice(0, edge))
+            held = batch.slice(edge)
+        if held is not None:
+            yield from match(held)
+
+    return run
+
+
+def _cells(length: int, q: int, seed: int):
+    """Windows cut by the minima of another hash over tokens of q characters; the
+    minimum and its distance from the first centre join the signature."""
+    t = length - q + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = _Rows(batch)
+            h = np.maximum(rolling_hash(r.cp, q, seed), np.uint64(1))
+            for k in range(1, q):  # tokens over a border between rows
+                at = r.starts[1:-1] - k
+                h[at[(at >= 0) & (at < len(h))]] = 0
+            left, centre, right = compact_windows(h, t)
+            row = np.searchsorted(r.starts, centre, "right") - 1
+            shift = r.begin[row] - r.starts[row]  # from places of the batch to places of the document
+            first = np.maximum(np.maximum(left, centre - t + 1) + shift, r.first[row])
+            last = np.minimum(centre, right - t + 1) + shift
+            ok = first <= last
+            row, first, last, shift, centre = row[ok], first[ok], last[ok], shift[ok], centre[ok]
+            with np.errstate(over="ignore"):
+                away = (centre + shift - r.centre[row]).astype(np.uint64)
+                key = _mix(r.key[row].view(np.uint64) * np.uint64(3) + _mix(h[centre] + _mix(away + np.uint64(7))))
+            texts = batch.column(4).to_pylist()
+            base = r.begin[row]
+            context = [texts[x][max(a - 1 - o, 0) : b - o + length] for x, a, b, o in zip(row.tolist(), first.tolist(), last.tolist(), base.tolist())]
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(key.view(np.int64)), batch.column(1).take(index), batch.column(2).take(index),
+                    pa.array(first.astype(np.int32)), pa.array(context, pa.string()),
+                ],
+                names=["signature", "doc_id", "centre", "first", "context"],
+            )
+
+    return run
+
+
+def _exact(length: int):
+    """Context rows → each stretch with two hashes and the character before it, null at
+    the beginning of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = _Rows(batch)
+            lead = r.first - r.begin
+            n = np.maximum(np.diff(r.starts) - lead - length + 1, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = r.starts[row] + lead[row] + step
+            if not len(at):
+                continue
+            one, two = (rolling_hash(r.cp, length, seed).view(np.int64) for seed in (0, 1))
+            start = r.first[row] + step
+            before = pa.array(r.cp[np.maximum(at - 1, 0)].astype(np.int32), mask=start == 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(one[at]), pa.array(two[at]), before, batch.column(1).take(pa.array(row)), pa.array(start.astype(np.int32))],
+                names=["key1", "key2", "before", "doc_id", "start"],
+            )
+
+    return run
+
+
+def _of_listed(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``doc_id`` is not in ``ids``, by a bit for each
+    id modulo ``FILTER_BITS``: the texts of most other documents need not be shuffled."""
+    bucket, place = f"shiftright(pmod(doc_id, {FILTER_BITS}), 15)", "pmod(doc_id, 32768)"
+    bits = ids.selectExpr(f"{bucket} AS bucket", f"{place} AS place").groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = f"cast(conv(hex(substring(bits, cast({place} div 8 as int) + 1, 1)), 16, 10) as int)"
+    met = rows.withColumn("bucket", F.expr(bucket)).join(F.broadcast(bits), "bucket")  # FILTER_BITS / 32768 rows of 4 KB at most
+    return met.where(f"shiftright({byte}, cast(pmod(doc_id, 8) as int)) & 1 = 1").drop("bucket", "bits")
+
+
+def _crowded(keyed: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose signature several documents hold, those of at most ``cap`` rows and the others."""
+    sizes = (
+        keyed.groupBy("signature")
+        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
         .where("a <> b")
-        .select("signature")
-    )
-    kept = (
-        windows.join(several, "signature", "left_semi")
-        .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("first", "last")).alias("windows"))  # at most the document's own
-    )
-    return checkpoint(
-        rows.join(kept, ["doc_id", "version"])
-        .select("doc_id", "text", "windows")
-        .mapInArrow(_stretches(min_length, chunk), "key1 bigint, key2 bigint, before bigint, doc_id bigint, start int")
+        .select("signature", (F.col("n") > cap).alias("crowded"))
     )
+    met = keyed.join(sizes, "signature")
+    return met.where("not crowded").drop("crowded"), met.where("crowded").drop("crowded")
 
 
-def shared_pairs(stretches: DataFrame) -> DataFrame:
+def shared_passages(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_length: int = 240, hashes: int = 3, cap: int = 64, chunk: int = CHUNK
+) -> tuple[DataFrame, DataFrame | None]:
+    """(passages, classes) of stretches of ``min_length`` or more code points.
+
+    passages (doc_a, start_a, doc_b, start_b, n_chars), doc_a < doc_b: equal text around a
+    window that two documents share, one row for each common window however many stretches
+    it holds. classes (key1, key2, before, doc_id, start): the members of each stretch
+    whose windows are more than ``cap`` under all ``hashes`` hash functions; equal keys are
+    one class, ``before`` is the character before the stretch. None if there are no such.
+
+    Null ids and texts and shorter texts have no stretches; rows with one id are parts of one
+    document; equal rows count once. Other columns are not read. ``start`` counts from 0.
+    """
+    q = min_length // 2
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = rows.where((F.length("text") >= min_length) & F.col("doc_id").isNotNull())
+    windows = written(
+        rows.mapInArrow(_windows(min_length, q, chunk), "signature bigint, doc_id bigint, centre int, first int, last int"), "windows"
+    )
+    few, many = _crowded(windows, cap)
+    kept = written(few.withColumn("crowded", F.lit(False)).unionByName(many.withColumn("crowded", F.lit(True))), "kept")
+
+    def contexts(part: DataFrame) -> DataFrame:
+        window = F.struct("signature", "centre", "first", "last")
+        by_doc = part.groupBy("doc_id").agg(F.collect_set(window).alias("windows"))  # at most the document's own
+        met = _of_listed(rows, part.select("doc_id")).join(by_doc, "doc_id")
+        return met.select("doc_id", "text", "windows").mapInArrow(_contexts(min_length), CONTEXT)
+
+    def matched(part: DataFrame) -> DataFrame:
+        together = part.repartition("signature").sortWithinPartitions("signature")  # at most cap rows a signature
+        return together.mapInArrow(_matches(min_length, q), "doc_a bigint, start_a int, doc_b bigint, start_b int, n_chars int")
+
+    found = matched(contexts(kept.where("not crowded")))
+    if kept.where("crowded").isEmpty():
+        return found, None
+    rest = contexts(kept.where("crowded"))
+    for level in range(1, hashes):
+        longer = min_length - max((min_length - q) >> level, 1)
+        few, many = _crowded(written(rest.mapInArrow(_cells(min_length, longer, level), CONTEXT), "cells"), cap)
+        found, rest = found.unionByName(matched(few)), many
+    return found, rest.mapInArrow(_exact(min_length), "key1 bigint, key2 bigint, before int, doc_id bigint, start int")
+
+
+def shared_pairs(passages: DataFrame, classes: DataFrame | None) -> DataFrame:
     """(doc_a, doc_b): each pair of documents that share a stretch, smaller id first.
 
-    Only at a stretch before which the two texts differ, or one begins, is the pair
-    made: every shared passage has one such stretch.
+    This alone writes out the pairs of a class, and only at a stretch before which the two
+    texts differ, or one begins: every shared passage has one such stretch.
     """
-    members = stretches.select("key1", "key2", "before", "doc_id")
+    pairs = passages.select("doc_a", "doc_b")
+    if classes is None:
+        return pairs.distinct()
+    members = classes.distinct()
     forks = (
         members.groupBy("key1", "key2")
         .agg(
@@ -262,26 +428,32 @@ def shared_pairs(stretches: DataFrame) -> DataFrame:
     )
     members = members.join(forks, ["key1", "key2"], "left_semi")
     other = members.select("key1", "key2", F.col("before").alias("before_b"), F.col("doc_id").alias("doc_b"))
-    return (
+    met = (
         members.join(other, ["key1", "key2"])
         .where("doc_id < doc_b and (before is null or before_b is null or before <> before_b)")
         .select(F.col("doc_id").alias("doc_a"), "doc_b")
-        .distinct()
     )
+    return pairs.unionByName(met).distinct()
 
 
-def shared_spans(stretches: DataFrame, min_length: int = 240) -> DataFrame:
+def shared_spans(passages: DataFrame, classes: DataFrame | None, min_length: int = 240) -> DataFrame:
     """(doc_id, start, n_chars): the parts of each document that occur elsewhere,
-    overlapping stretches joined; ``start`` counts code points from 0."""
-    keys = stretches.groupBy("key1", "key2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
-    at = stretches.join(keys, ["key1", "key2"], "left_semi").select("doc_id", "start").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("start")  # at most the document's own characters
-    fresh = (F.col("start") - F.lag("start").over(by_doc) > min_length).cast("int")
+    overlapping and touching ones joined; ``start`` counts code points from 0."""
+    sides = [passages.select(F.col(f"doc_{x}").alias("doc_id"), F.col(f"start_{x}").alias("start"), "n_chars") for x in "ab"]
+    parts = sides[0].unionByName(sides[1])
+    if classes is not None:
+        keys = classes.groupBy("key1", "key2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
+        held = classes.join(keys, ["key1", "key2"], "left_semi")
+        parts = parts.unionByName(held.select("doc_id", "start", F.lit(min_length).alias("n_chars")))
+    parts = parts.groupBy("doc_id", "start").agg(F.max("n_chars").alias("n_chars"))
+    by_doc = Window.partitionBy("doc_id").orderBy("start")  # at most the document's own windows
+    reached = F.max(F.col("start") + F.col("n_chars")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
     return (
-        at.withColumn("span", F.coalesce(fresh, F.lit(1)))
-        .withColumn("span", F.sum("span").over(by_doc))
+        parts.withColumn("fresh", fresh)
+        .withColumn("span", F.sum("fresh").over(by_doc))
         .groupBy("doc_id", "span")
-        .agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + min_length).alias("n_chars"))
+        .agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n_chars")) - F.min("start")).cast("int").alias("n_chars"))
         .select("doc_id", "start", "n_chars")
     )
 

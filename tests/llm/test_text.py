@@ -153,26 +153,49 @@ def spliced():
     return [*docs, (60, None), (61, ""), (62, "a" * 500), (63, "a" * 90 + "b"), (64, docs[3][1]), (65, docs[3][1]), (66, "ab" * 200), (67, "ba" * 200)]
 
 
-@pytest.mark.parametrize("chunk", [1 << 18, 150])
-def test_shared_spans_against_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "cap", "hashes"), [(1 << 18, 5000, 3), (150, 64, 3), (1 << 18, 2, 3), (150, 2, 1), (1 << 18, 8, 2)])
+def test_shared_spans_against_brute_force(spark, chunk, cap, hashes):
     docs = spliced()
     pairs, places = brute(docs, 40)
     assert len(pairs) > 20
-    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, start int")
-    found = spans.shared_stretches(df, min_length=40, chunk=chunk)
-    assert {tuple(r) for r in spans.shared_pairs(found).collect()} == pairs
+    df = spark.createDataFrame([(d, t, 1) for d, t in [*docs, (None, docs[3][1])]], "doc_id long, text string, start int")
+    found = spans.shared_passages(df, min_length=40, chunk=chunk, cap=cap, hashes=hashes)
+    assert (found[1] is not None) == (cap < 5000)
+    texts = dict(docs)
+    for r in found[0].collect():
+        assert r.doc_a < r.doc_b and r.n_chars >= 40
+        assert texts[r.doc_a][r.start_a : r.start_a + r.n_chars] == texts[r.doc_b][r.start_b : r.start_b + r.n_chars]
+    assert {tuple(r) for r in spans.shared_pairs(*found).collect()} == pairs
     got = defaultdict(set)
-    for r in spans.shared_spans(found, 40).collect():
+    for r in spans.shared_spans(*found, 40).collect():
         assert not got[r.doc_id] & set(range(r.start, r.start + r.n_chars))
         got[r.doc_id] |= set(range(r.start, r.start + r.n_chars))
     assert {k: v for k, v in got.items() if v} == dict(places)
-    parts = {r.doc_id: r for r in spans.shared_parts(df, spans.shared_spans(found, 40)).collect()}
+    parts = {r.doc_id: r for r in spans.shared_parts(df.where("doc_id is not null"), spans.shared_spans(*found, 40)).collect()}
     assert len(parts) == len(docs) and parts[60].share == 0.0 and parts[64].n_shared == len(places[64])
 
 
+def test_a_standing_footer_makes_no_pairs(spark):
+    """A footer a little shorter than a stretch under many texts: crowded, and cut down by the further hashes."""
+    own = random.Random(3)
+    foot = "".join(own.choice("abcdefgh") for _ in range(38))
+    docs = [(i, "".join(own.choice("ijklmnop") for _ in range(60)) + foot) for i in range(300)]
+    docs += [(1000 + i, docs[i][1][20:]) for i in range(5)]
+    found = spans.shared_passages(spark.createDataFrame(docs, "doc_id long, text string"), min_length=40, cap=16)
+    assert {tuple(r) for r in spans.shared_pairs(*found).collect()} == brute(docs, 40)[0]
+    assert found[1].count() < 300
+
+
+def test_rows_of_one_id_are_parts_of_one_document(spark):
+    texts = ["".join(rng.choice("abcdef") for _ in range(100)) for _ in range(3)]
+    docs = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, "x" + texts[0][10:70]), (3, texts[1][30:80] + "y"), (4, texts[2])]
+    found = spans.shared_passages(spark.createDataFrame(docs, "doc_id long, text string"), min_length=40)
+    assert {tuple(r) for r in spans.shared_pairs(*found).collect()} == {(1, 2), (1, 3)}
+
+
 def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert spans.shared_pairs(spans.shared_stretches(empty)).count() == 0
+    assert spans.shared_pairs(*spans.shared_passages(empty)).count() == 0
 
 
 # Mixing
