@@ -24,6 +24,7 @@ class of equal stretches is left as a class: no pairs are made of it here.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Characters handled at once: bounds the memory of a task for texts of any length.
 CHUNK = 1 << 18
+#: Lower bits of a hash that give way to its place while minima are looked for.
+PLACE_BITS = 24
 #: Bits of the filter on document ids: at most 8 MB are broadcast, however many documents there are.
 FILTER_BITS = 1 << 26
 CONTEXT = "signature bigint, doc_id bigint, centre int, first int, context string"
@@ -59,63 +62,55 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32), heads[offsets - offsets[0]]
 
 
+@lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(out, out=out)
+    return out
+
+
 def rolling_hash(cp: np.ndarray, q: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of q code points, the same wherever the run stands."""
     m = len(cp) - q + 1
     if m <= 0:
         return np.empty(0, np.uint64)
     base = (_BASE + 2 * seed) & _MASK
-    inverse = pow(base, -1, 1 << 64)
+    size = 1 << (len(cp) - 1).bit_length()  # few sizes, so that few tables of powers are made
+    up, down = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
     with np.errstate(over="ignore"):
-        up = np.full(len(cp), base, np.uint64)
-        up[0] = 1
-        down = np.full(m, inverse, np.uint64)
-        down[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.multiply.accumulate(down, out=down)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(cp.astype(np.uint64) + np.uint64(seed + 1)) * up)])
-        return _mix((total[q:] - total[:m]) * down)
+        total = np.zeros(len(cp) + 1, np.uint64)
+        np.cumsum(_mix(cp.astype(np.uint64) + np.uint64(seed + 1)) * up[: len(cp)], out=total[1:])
+        return _mix((total[q:] - total[:m]) * down[:m])
 
 
 def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, centre, right) of every compact window of at least t tokens.
 
-    A window is cut to t - 1 tokens on either side of its centre, which loses no
-    subsequence of t tokens. Of equal hashes the first is the minimum. The bounds of
-    a centre's subtree come from range minima over powers of two, for all centres
-    at once. A hash of 0 marks a token that no window may hold.
+    A window is the subtree of its centre in the Cartesian tree over the hashes, cut to t - 1
+    tokens on either side, which loses no subsequence of t tokens: it is the run of
+    subsequences whose minimum the centre is. The minima of all subsequences come from
+    running minima of blocks of t tokens, forwards and backwards. Hashes are compared
+    by their upper 40 bits, of equal ones the first is the minimum. A hash of 0 marks a
+    token that no window may hold. Fewer than 2^24 tokens are taken at once.
     """
     n = len(h)
     m = n - t + 1
     if m <= 0:
         return (np.empty(0, np.int64),) * 3
-    place = np.arange(n, dtype=np.int32)
-    levels, step = [h], 1
-    while 2 * step <= t:
-        a, b = place[:-step], place[step:]
-        place = np.where(h[a] <= h[b], a, b)
-        levels.append(h[place])
-        step *= 2
-    a, b = place[:m], place[t - step :][:m]
-    first = np.where(h[a] <= h[b], a, b)
-    centre = np.unique(first[h[first] > 0]).astype(np.int64)
-    return _bounds(h, levels, centre, t)
-
-
-def _bounds(h: np.ndarray, levels: list[np.ndarray], centre: np.ndarray, t: int):
-    n, v = len(h), h[centre]
-    left, right = centre.copy(), centre.copy()
-    for k in range(len(levels) - 1, -1, -1):
-        step = 1 << k
-        # later equal hashes belong to the window, an earlier one ends it
-        ok = (right + step < n) & (right + step - centre < t)
-        ok &= levels[k][np.minimum(right + 1, n - step)] >= v
-        right = np.where(ok, right + step, right)
-        ok = (left - step >= 0) & (centre - left + step < t)
-        ok &= levels[k][np.maximum(left - step, 0)] > v
-        left = np.where(ok, left - step, left)
-    wide = right - left + 1 >= t
-    return left[wide], centre[wide], right[wide]
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    packed = np.full(-(-n // t) * t, np.iinfo(np.uint64).max)
+    packed[:n] = np.where(h > 0, np.maximum(h, low + np.uint64(1)), np.uint64(0)) & ~low | np.arange(n, dtype=np.uint64)
+    blocks = packed.reshape(-1, t)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(back[:m], ahead[t - 1 : t - 1 + m]) & low
+    edge = np.flatnonzero(np.diff(least)) + 1
+    first, last = np.concatenate([[0], edge]), np.concatenate([edge, [m]]) - 1
+    centre = least[first].astype(np.int64)
+    ok = h[centre] > 0
+    return first[ok], centre[ok], last[ok] + t - 1
 
 
 def _pieces(starts: np.ndarray, least: int, chunk: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -351,16 +346,15 @@ def _of_listed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return met.where(f"shiftright({byte}, cast(pmod(doc_id, 8) as int)) & 1 = 1").drop("bucket", "bits")
 
 
-def _crowded(keyed: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
-    """Rows whose signature several documents hold, those of at most ``cap`` rows and the others."""
+def _shared(keyed: DataFrame, cap: int) -> DataFrame:
+    """Rows whose signature several documents hold; ``crowded`` if more than ``cap`` rows do."""
     sizes = (
         keyed.groupBy("signature")
         .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
         .where("a <> b")
         .select("signature", (F.col("n") > cap).alias("crowded"))
     )
-    met = keyed.join(sizes, "signature")
-    return met.where("not crowded").drop("crowded"), met.where("crowded").drop("crowded")
+    return keyed.join(sizes, "signature")
 
 
 def shared_passages(
@@ -383,8 +377,7 @@ def shared_passages(
     windows = written(
         rows.mapInArrow(_windows(min_length, q, chunk), "signature bigint, doc_id bigint, centre int, first int, last int"), "windows"
     )
-    few, many = _crowded(windows, cap)
-    kept = written(few.withColumn("crowded", F.lit(False)).unionByName(many.withColumn("crowded", F.lit(True))), "kept")
+    kept = written(_shared(windows, cap), "kept")
 
     def contexts(part: DataFrame) -> DataFrame:
         window = F.struct("signature", "centre", "first", "last")
@@ -402,8 +395,9 @@ def shared_passages(
     rest = contexts(kept.where("crowded"))
     for level in range(1, hashes):
         longer = min_length - max((min_length - q) >> level, 1)
-        few, many = _crowded(written(rest.mapInArrow(_cells(min_length, longer, level), CONTEXT), "cells"), cap)
-        found, rest = found.unionByName(matched(few)), many
+        cells = _shared(written(rest.mapInArrow(_cells(min_length, longer, level), CONTEXT), "cells"), cap)
+        found = found.unionByName(matched(cells.where("not crowded").drop("crowded")))
+        rest = cells.where("crowded").drop("crowded")
     return found, rest.mapInArrow(_exact(min_length), "key1 bigint, key2 bigint, before int, doc_id bigint, start int")
 
 
