@@ -1,7 +1,9 @@
 """Freely typed values mapped to a reference list, in SQL: a pigeonhole join.
 
 Each entry of the list is written in the forms people type it in: whole, with its
-last part first, with parts cut short or without vowels. A form that may take k
+last part first, with parts cut short or without vowels. What people put around a
+value ("best ...", "...ish") is learned from the values themselves: a beginning or ending
+that, taken off, leaves the labels of several entries. A form that may take k
 errors is cut into k + 1 segments. Whatever is typed with at most k errors keeps
 one segment whole, at a place moved by at most k, so typed values and forms meet
 by equality on (length, k, segment, substring); built-in ``levenshtein`` verifies.
@@ -13,19 +15,20 @@ from __future__ import annotations
 import unicodedata
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: What people put around a value without changing what it names.
-BEFORE = ("best", "pure", "real", "genre", "mood", "style", "tag")
-AFTER = ("vibes", "vibe", "tunes", "music", "stuff", "ish")
 MOST_ERRORS = 3
+#: An affix goes with at least so many entries, and with this share of them.
+LEAST_ENTRIES, LEAST_SHARE = 3, 0.02
 
 
 def _letters() -> tuple[str, str]:
-    """Accented and wide letters and the plain lower-case letter each is based on, by rule."""
+    """Accented and wide letters and the plain lower-case letter each is based on, by rule:
+    Latin, Greek and Cyrillic; letters of other scripts stand for themselves."""
     plain = {}
-    for cp in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF10, 0xFF5B)):
+    for cp in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFF10, 0xFF5B)):
         base = unicodedata.normalize("NFKD", chr(cp).lower())[:1]
-        if base.isascii() and base.isalnum():
+        if base.isalnum() and base != chr(cp).lower():
             plain[chr(cp)] = base
     return "".join(plain), "".join(plain.values())
 
@@ -39,7 +42,7 @@ _VOWELS = "concat(left({x}, 1), regexp_replace(substring({x}, 2), '[aeiou]', '')
 
 PARTS_SQL = f"""
 SELECT entry_id, kind,
-       transform(filter(split({_squash("label")}, '\\\\s+'), x -> x <> ''), x -> regexp_replace(x, '[^a-z0-9]', '')) AS p
+       transform(filter(split({_squash("label")}, '\\\\s+'), x -> x <> ''), x -> regexp_replace(x, '[^\\\\p{{{{L}}}}\\\\p{{{{N}}}}]', '')) AS p
 FROM {{entries}} WHERE label IS NOT NULL AND entry_id IS NOT NULL"""
 
 SHORT_SQL = f"""
@@ -60,7 +63,7 @@ FROM (SELECT entry_id, kind, 0 AS rank, array_join(p, '') AS form FROM {{parts}}
       UNION ALL SELECT entry_id, kind, 2, array_join(transform(p, (x, j) -> CASE WHEN j = i THEN s ELSE x END), '')
                 FROM {{short}}
       UNION ALL SELECT entry_id, kind, 2, array_join(transform(p, x -> {_VOWELS.format(x="x")}), '') FROM {{parts}})
-WHERE length(form) > 2 GROUP BY entry_id, kind, form"""
+WHERE length(form) > CASE WHEN rank < 2 THEN 0 ELSE 2 END GROUP BY entry_id, kind, form"""
 
 #: Positions count from 1; segment i of a form of length len.
 SEGMENTS_SQL = """
@@ -68,18 +71,39 @@ SELECT f.*, i AS seg, (i * len) div (k + 1) + 1 AS at, ((i + 1) * len) div (k +
 FROM {forms} f LATERAL VIEW explode(sequence(0, k)) AS i"""
 
 CLEAN_SQL = f"""
-SELECT field, value, filter(split({_squash("value")}, '[^a-z0-9]+'), x -> x <> '') AS words,
-       regexp_replace({_squash("value")}, '[^a-z0-9]', '') AS whole
+SELECT field, value, filter(split({_squash("value")}, '[^\\\\p{{{{L}}}}\\\\p{{{{N}}}}]+'), x -> x <> '') AS words,
+       regexp_replace({_squash("value")}, '[^\\\\p{{{{L}}}}\\\\p{{{{N}}}}]', '') AS whole
 FROM {{values}}"""
 
-TYPED_SQL = f"""
-SELECT field, value, words, typed FROM {{clean}}
-LATERAL VIEW explode(array_distinct(array(
-    whole,
-    regexp_replace(whole, '^({"|".join(BEFORE)})', ''),
-    regexp_replace(whole, '({"|".join(AFTER)})$', ''),
-    regexp_replace(regexp_replace(whole, '^({"|".join(BEFORE)})', ''), '({"|".join(AFTER)})$', '')))) AS typed
-WHERE length(typed) > 2"""
+#: longest: the length of the longest form, the most that is tried as a label or an affix.
+AFFIXES_SQL = f"""
+SELECT side, affix FROM (
+    SELECT side, CASE side WHEN 'before' THEN left(whole, length(whole) - n) ELSE substring(whole, n + 1) END AS affix,
+           CASE side WHEN 'before' THEN right(whole, n) ELSE left(whole, n) END AS form
+    FROM (SELECT DISTINCT whole FROM {{clean}} WHERE length(whole) BETWEEN 2 AND 2 * :longest)
+    LATERAL VIEW explode(array('before', 'after')) AS side
+    LATERAL VIEW explode(sequence(1, least(length(whole) - 1, :longest))) AS n
+    WHERE length(whole) - n <= :longest) x
+JOIN {{plain}} p ON x.form = p.form
+GROUP BY side, affix
+HAVING count(DISTINCT entry_id) >= greatest({LEAST_ENTRIES}, {LEAST_SHARE} * (SELECT count(DISTINCT entry_id) FROM {{plain}}))"""
+
+BEHEADED_SQL = """
+SELECT field, value, 0 AS cut, whole AS typed FROM {clean} WHERE whole <> ''
+UNION ALL
+SELECT field, value, 1 AS cut, substring(whole, n + 1) AS typed
+FROM (SELECT field, value, whole, n, left(whole, n) AS affix FROM {clean}
+      LATERAL VIEW explode(sequence(1, least(length(whole) - 1, :longest))) AS n WHERE length(whole) > 1) c
+JOIN {affixes} a ON a.side = 'before' AND a.affix = c.affix"""
+
+#: cut: how many affixes were taken off.
+TYPED_SQL = """
+SELECT field, value, cut, typed FROM {beheaded}
+UNION ALL
+SELECT field, value, cut + 1 AS cut, left(typed, length(typed) - n) AS typed
+FROM (SELECT field, value, cut, typed, n, right(typed, n) AS affix FROM {beheaded}
+      LATERAL VIEW explode(sequence(1, least(length(typed) - 1, :longest))) AS n WHERE length(typed) > 1) c
+JOIN {affixes} a ON a.side = 'after' AND a.affix = c.affix"""
 
 SPREAD_SQL = f"""
 SELECT typed, length(typed) - d AS len, d FROM (SELECT DISTINCT typed FROM {{typed}})
@@ -103,16 +127,20 @@ FROM (SELECT *, levenshtein(typed, form, k) AS d FROM (
         ON p.len = g.len AND p.k = g.k AND p.seg = g.seg AND p.piece = substring(g.form, g.at, g.size)))
 WHERE d >= 0"""
 
-KNOWN_SQL = """
-SELECT collect_set(w) AS known FROM {entries}
-LATERAL VIEW explode(filter(split(lower(label), '[^a-z0-9]+'), x -> x <> '')) AS w"""
+KNOWN_SQL = f"""
+SELECT DISTINCT w FROM {{entries}}
+LATERAL VIEW explode(filter(split({_squash("label")}, '[^\\\\p{{{{L}}}}\\\\p{{{{N}}}}]+'), x -> x <> '')) AS w"""
+
+#: Values with a word that is in no label.
+ODD_SQL = """
+SELECT DISTINCT field, value FROM (SELECT field, value, w FROM {clean} LATERAL VIEW explode(words) AS w) c
+LEFT ANTI JOIN {known} k ON c.w = k.w"""
 
 #: Words that are all in the list, put together as no entry is, name something else.
 HITS_SQL = """
-SELECT t.field, t.value, m.entry_id, struct(m.d, m.rank) AS cost
-FROM {typed} t JOIN {matches} m ON t.typed = m.typed
-WHERE (t.field = 'any' OR m.kind = t.field)
-  AND (m.d = 0 OR size(array_except(t.words, (SELECT known FROM {known}))) > 0)"""
+SELECT t.field, t.value, m.entry_id, struct(m.d, t.cut, m.rank) AS cost
+FROM {typed} t JOIN {matches} m ON t.typed = m.typed LEFT JOIN {odd} o ON t.field = o.field AND t.value = o.value
+WHERE (t.field = 'any' OR m.kind = t.field) AND (m.d = 0 OR o.value IS NOT NULL)"""
 
 CHOICE_SQL = """
 SELECT field, value, entries[0] AS entry_id
@@ -127,17 +155,18 @@ UNION ALL
 SELECT v.field, v.value, -1 FROM {values} v LEFT ANTI JOIN {chosen} c ON v.field = c.field AND v.value = c.value"""
 
 
-def map_values(values: DataFrame, entries: DataFrame, max_broadcast_entries: int = 100_000) -> DataFrame:
+def map_values(values: DataFrame, entries: DataFrame, max_broadcast_segments: int = 200_000) -> DataFrame:
     """(field, value, entry_id) for distinct (field, value): the entry meant, or -1.
 
     ``field`` is ``any`` or the one ``kind`` of entries the value may mean; entries
     are (entry_id INT, kind, label). Letter case, accents, width, punctuation,
-    spacing and the order of two parts make no difference, nor do the words of
-    ``BEFORE`` and ``AFTER``; up to three errors are forgiven in long labels. Of
-    several entries equally near none is chosen. Null values are no values, empty
-    ones and ones longer than any label are -1, entries with a null id or label
-    are skipped, with an empty list every value is -1. The list is counted before
-    its segments are broadcast; a longer one is joined by shuffles.
+    spacing and the order of two parts make no difference, in any script, nor does one affix at
+    either end that goes with several entries (see ``AFFIXES_SQL``); up to three
+    errors are forgiven in long labels, none in labels of one or two letters. Fewer errors
+    go before fewer affixes; of several entries equally near none is chosen. Null values
+    are no values, empty ones and ones longer than any label are -1, entries with a null id
+    or label are skipped, with an empty list every value is -1. The segments of the list are
+    counted before they are broadcast; more of them are joined by shuffles.
     """
     spark = values.sparkSession
     entries = entries.select("entry_id", "kind", "label")
@@ -146,12 +175,19 @@ def map_values(values: DataFrame, entries: DataFrame, max_broadcast_entries: int
     forms = spark.sql(FORMS_SQL, parts=parts, short=spark.sql(SHORT_SQL, parts=parts))
     segments = spark.sql(SEGMENTS_SQL, forms=forms)
     layout = spark.sql(LAYOUT_SQL, segments=segments)
-    if entries.limit(max_broadcast_entries + 1).count() <= max_broadcast_entries:
-        segments, layout = segments.hint("broadcast"), layout.hint("broadcast")
-    typed = spark.sql(TYPED_SQL, clean=spark.sql(CLEAN_SQL, values=values))
+    size = segments.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).first()
+    longest = {"longest": size.longest or 0}
+    plain = forms.where("rank = 0").select("entry_id", "form")
+    if size.n <= max_broadcast_segments:
+        segments, layout, plain = segments.hint("broadcast"), layout.hint("broadcast"), plain.hint("broadcast")
+    clean = spark.sql(CLEAN_SQL, values=values)
+    affixes = spark.sql(AFFIXES_SQL, longest, clean=clean, plain=plain)
+    beheaded = spark.sql(BEHEADED_SQL, longest, clean=clean, affixes=affixes)
+    typed = spark.sql(TYPED_SQL, longest, beheaded=beheaded, affixes=affixes)
     pieces = spark.sql(PIECES_SQL, spread=spark.sql(SPREAD_SQL, typed=typed), layout=layout)
     matches = spark.sql(MATCH_SQL, pieces=pieces, segments=segments)
-    hits = spark.sql(HITS_SQL, typed=typed, matches=matches, known=spark.sql(KNOWN_SQL, entries=entries))
+    odd = spark.sql(ODD_SQL, clean=clean, known=spark.sql(KNOWN_SQL, entries=entries))
+    hits = spark.sql(HITS_SQL, typed=typed, matches=matches, odd=odd)
     chosen = spark.sql(CHOICE_SQL, hits=hits)
     return spark.sql(ALL_SQL, chosen=chosen, values=values)
 

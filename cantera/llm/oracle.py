@@ -97,7 +97,6 @@ def _voiceless(x: str) -> str:
     return f"(left({x}, 1) || regexp_replace(substr({x}, 2), '[aeiou]', '', 'g'))"
 
 
-_BEFORE, _AFTER = (f"({'|'.join(w)})" for w in (canon.BEFORE, canon.AFTER))
 _P = "generate_subscripts(p, 1)"
 
 #: Every typed value against every form of every entry, by edit distance alone.
@@ -108,7 +107,7 @@ _MAPPED = f"""
         UNION ALL SELECT 'mapped_mood', 'mood', result_id, 0, mapped_mood FROM processed_tracks),
     open AS (SELECT * FROM occurrences WHERE value IS NOT NULL AND value NOT IN (SELECT label FROM canon_entries)),
     parts AS (SELECT entry_id, kind, list_transform(list_filter(string_split_regex({_squash("label")}, '\\s+'), lambda x: x <> ''),
-                     lambda x: regexp_replace(x, '[^a-z0-9]', '', 'g')) AS p FROM canon_entries),
+                     lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS p FROM canon_entries),
     places AS (SELECT entry_id, kind, p, {_P} AS i, unnest(p) AS part FROM parts),
     short AS (SELECT entry_id, kind, p, i, {_voiceless("part")} AS s FROM places
               UNION ALL SELECT entry_id, kind, p, i, left(part, unnest([3, 4, 5])) FROM places WHERE len(p) > 1),
@@ -118,15 +117,26 @@ _MAPPED = f"""
               UNION ALL SELECT entry_id, kind, 2, array_to_string(list_transform(p, lambda x: {_voiceless("x")}), '') FROM parts),
     forms AS (SELECT entry_id, kind, form, min(rank) AS rank,
                      CASE WHEN min(rank) < 2 THEN least({canon.MOST_ERRORS}, (length(form) - 1) // 2) WHEN length(form) >= 7 THEN 1 ELSE 0 END AS k
-              FROM every WHERE length(form) > 2 GROUP BY entry_id, kind, form),
-    known AS (SELECT list(DISTINCT w) AS words FROM (SELECT unnest(string_split_regex(lower(label), '[^a-z0-9]+')) AS w FROM canon_entries)),
-    clean AS (SELECT DISTINCT allowed, value, list_filter(string_split_regex({_squash("value")}, '[^a-z0-9]+'), lambda x: x <> '') AS words,
-                     regexp_replace({_squash("value")}, '[^a-z0-9]', '', 'g') AS whole FROM open),
-    typed AS (SELECT DISTINCT allowed, value, words, unnest([whole, regexp_replace(whole, '^{_BEFORE}', ''), regexp_replace(whole, '{_AFTER}$', ''),
-                     regexp_replace(regexp_replace(whole, '^{_BEFORE}', ''), '{_AFTER}$', '')]) AS t FROM clean),
-    near AS (SELECT t, entry_id, kind, rank, levenshtein(t, form) AS d FROM (SELECT DISTINCT t FROM typed WHERE length(t) BETWEEN 3 AND 200), forms
+              FROM every WHERE length(form) > CASE WHEN rank < 2 THEN 0 ELSE 2 END GROUP BY entry_id, kind, form),
+    known AS (SELECT list(DISTINCT w) AS words FROM (SELECT unnest(string_split_regex({_squash("label")}, '[^\\p{{L}}\\p{{N}}]+')) AS w FROM canon_entries)),
+    clean AS (SELECT DISTINCT allowed, value, list_filter(string_split_regex({_squash("value")}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS words,
+                     regexp_replace({_squash("value")}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS whole FROM open),
+    longest AS (SELECT max(length(form)) AS most FROM forms),
+    around AS (SELECT 'before' AS side, left(whole, length(whole) - length(form)) AS affix, entry_id FROM (SELECT DISTINCT whole FROM clean), forms
+               WHERE rank = 0 AND length(whole) > length(form) AND ends_with(whole, form)
+               UNION ALL SELECT 'after', substr(whole, length(form) + 1), entry_id FROM (SELECT DISTINCT whole FROM clean), forms
+               WHERE rank = 0 AND length(whole) > length(form) AND starts_with(whole, form)),
+    affixes AS (SELECT side, affix FROM around, longest WHERE length(affix) <= most GROUP BY side, affix
+                HAVING count(DISTINCT entry_id) >= greatest({canon.LEAST_ENTRIES}, {canon.LEAST_SHARE} * (SELECT count(*) FROM forms WHERE rank = 0))),
+    beheaded AS (SELECT allowed, value, words, 0 AS cut, whole AS t FROM clean WHERE whole <> ''
+                 UNION ALL SELECT allowed, value, words, 1, substr(whole, length(affix) + 1) FROM clean, affixes
+                 WHERE side = 'before' AND starts_with(whole, affix) AND length(whole) > length(affix)),
+    typed AS (SELECT * FROM beheaded
+              UNION ALL SELECT allowed, value, words, cut + 1, left(t, length(t) - length(affix)) FROM beheaded, affixes
+              WHERE side = 'after' AND ends_with(t, affix) AND length(t) > length(affix)),
+    near AS (SELECT t, entry_id, kind, rank, levenshtein(t, form) AS d FROM (SELECT DISTINCT t FROM typed WHERE length(t) <= 200), forms
              WHERE abs(length(t) - length(form)) <= k AND levenshtein(t, form) <= k),
-    hits AS (SELECT allowed, value, entry_id, (d, rank) AS cost FROM typed JOIN near USING (t), known
+    hits AS (SELECT allowed, value, entry_id, (d, cut, rank) AS cost FROM typed JOIN near USING (t), known
              WHERE (allowed = 'any' OR kind = allowed) AND (d = 0 OR NOT list_has_all(known.words, typed.words))),
     best AS (SELECT allowed, value, min(cost) AS cost FROM hits GROUP BY allowed, value),
     chosen AS (SELECT allowed, value, min(entry_id) AS entry_id FROM hits JOIN best USING (allowed, value, cost)

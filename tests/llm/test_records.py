@@ -21,7 +21,8 @@ ENTRIES = [(1, "genre", "copper punk"), (2, "genre", "paper folk"), (3, "genre",
 TYPED = [
     ("COPPER  punk", 1), ("*copper-punk!!", 1), ("coper punk", 1), ("copepr punk", 1), ("punk, copper", 1), ("punk (copper)", 1), ("copperpunk", 1),
     ("cppr punk", 1), ("copp. punk", 1), ("genre: copper punk", 1), ("copper punk vibes", 1), ("copper punkish", 1), ("còppér punk", 1), ("ｃｏｐｐｅｒ punk", 1),
-    ("best paper folk", 2), ("pure paper soul", 3), ("fjord side waltz", 4), ("fjor waltz", 4), ("weíghtless", 5), ("wieghtless", 5), ("wghtlss", 5), ("sunlti", 6),
+    ("best paper folk", 2), ("pure paper soul", 3), ("best paper soul", 3), ("best weightless", 5), ("sunlit vibes", 6), ("weightless vibes", 5), ("pure sunlit", 6),
+    ("pure copper punk", 1), ("genre: sunlit", 6), ("genre paper soul", 3), ("sunlitish", 6), ("weightless-ish", 5), ("best copper punk vibes", 1), ("lost copper punk", -1), ("fjord side waltz", 4), ("fjor waltz", 4), ("weíghtless", 5), ("wieghtless", 5), ("wghtlss", 5), ("sunlti", 6),
     ("paper", -1), ("paper punk", -1), ("copper soul", -1), ("copper museum", -1), ("not really folk at all", -1), ("", -1), ("???", -1), ("lost", -1),
     ("x" * 100_000, -1), ("paper fool", -1),
 ]
@@ -36,7 +37,7 @@ def mapped(spark, typed, entries=ENTRIES, field="any", **more):
 def test_typed_values(spark):
     got = mapped(spark, [t for t, _ in TYPED[:-1]] + [None, "sunlit", "sunlit"])
     assert got == {**dict(TYPED[:-1]), "sunlit": 6}
-    assert mapped(spark, ["coper punk", "sunlti"], max_broadcast_entries=1) == {"coper punk": 1, "sunlti": 6}
+    assert mapped(spark, ["coper punk", "sunlti"], max_broadcast_segments=1) == {"coper punk": 1, "sunlti": 6}
     assert mapped(spark, ["coper punk", "sunlti"], field="mood") == {"coper punk": -1, "sunlti": 6}
     assert mapped(spark, ["coper punk"], entries=[]) == {"coper punk": -1} and mapped(spark, []) == {}
 
@@ -45,6 +46,12 @@ def test_equally_near_entries_are_none(spark):
     assert mapped(spark, ["paper fooul"], [(1, "genre", "paper foul"), (2, "genre", "paper fool")]) == {"paper fooul": -1}
 
 
+def test_short_labels_and_other_scripts(spark):
+    entries = [(1, "genre", "R&B"), (2, "genre", "Рок"), (3, "genre", "演歌"), (4, "genre", "Йодль"), (5, "genre", "U")]
+    typed = {"R & B": 1, "r&b": 1, "rb": 1, "rc": -1, "РОК": 2, "рок!": 2, "演歌 ": 3, "Йодль": 4, "йодл": 4, "u.": 5, "演": -1}
+    assert mapped(spark, list(typed), entries) == typed
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
