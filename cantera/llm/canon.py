@@ -17,6 +17,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantera.session import written
+
 MOST_ERRORS = 3
 #: An affix goes with at least so many entries, and with this share of them.
 LEAST_ENTRIES, LEAST_SHARE = 3, 0.02
@@ -180,16 +182,16 @@ def map_values(values: DataFrame, entries: DataFrame, max_broadcast_segments: in
     plain = forms.where("rank = 0").select("entry_id", "form")
     if size.n <= max_broadcast_segments:
         segments, layout, plain = segments.hint("broadcast"), layout.hint("broadcast"), plain.hint("broadcast")
-    clean = spark.sql(CLEAN_SQL, values=values)
-    affixes = spark.sql(AFFIXES_SQL, longest, clean=clean, plain=plain)
+    clean = written(spark.sql(CLEAN_SQL, values=values), "values")  # distinct values, read by several steps
+    affixes = written(spark.sql(AFFIXES_SQL, longest, clean=clean, plain=plain), "affixes")
     beheaded = spark.sql(BEHEADED_SQL, longest, clean=clean, affixes=affixes)
-    typed = spark.sql(TYPED_SQL, longest, beheaded=beheaded, affixes=affixes)
+    typed = written(spark.sql(TYPED_SQL, longest, beheaded=beheaded, affixes=affixes), "typed")
     pieces = spark.sql(PIECES_SQL, spread=spark.sql(SPREAD_SQL, typed=typed), layout=layout)
     matches = spark.sql(MATCH_SQL, pieces=pieces, segments=segments)
     odd = spark.sql(ODD_SQL, clean=clean, known=spark.sql(KNOWN_SQL, entries=entries))
     hits = spark.sql(HITS_SQL, typed=typed, matches=matches, odd=odd)
     chosen = spark.sql(CHOICE_SQL, hits=hits)
-    return spark.sql(ALL_SQL, chosen=chosen, values=values)
+    return spark.sql(ALL_SQL, chosen=chosen, values=clean)
 
 
 OCCURRENCES_SQL = """
