@@ -8,10 +8,20 @@ shuffle, so a term that a third of all records hold costs one row per map task.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def share_of(n: Column, total: Column, share: float | Fraction) -> tuple[Column, Column]:
+    """(n * q, total * p) for the share p / q: to be compared without rounding, in decimals
+    that hold counts up to 10^18."""
+    exact = Fraction(share).limit_denominator(10**9)
+    wide = "decimal(19,0)"
+    return n.cast(wide) * F.lit(exact.denominator).cast(wide), total.cast(wide) * F.lit(exact.numerator).cast(wide)
+
+
 def run_lengths(terms: Column) -> Column:
     """ARRAY<STRUCT<term, n>> of an array's distinct non-null terms with their counts."""
     ordered = F.array_sort(F.array_compact(terms))
@@ -53,19 +63,20 @@ def term_frequencies(df: DataFrame, terms: str) -> DataFrame:
 
 
 def mark_frequency(
-    counts: DataFrame, total: DataFrame, rare_at_most: int = 2, common_over: float = 1 / 25
+    counts: DataFrame, total: DataFrame, rare_at_most: int = 2, common_over: float | Fraction = Fraction(1, 25)
 ) -> DataFrame:
     """Add ``verdict``: ``rare`` up to ``rare_at_most`` records, ``common`` in more
     than the share ``common_over`` of the records in the one-row frame ``total``
-    (column ``n_total``), else ``useful``. A term both rare and common is rare.
+    (column ``n_total``), else ``useful``. Shares are compared exactly. A term both rare
+    and common is rare.
     """
-    parts = round(1 / common_over)
+    own, bound = share_of(F.col("n_records"), F.col("n_total"), common_over)
     return (
         counts.crossJoin(F.broadcast(total.select("n_total")))  # one row by construction
         .withColumn(
             "verdict",
             F.when(F.col("n_records") <= rare_at_most, F.lit("rare"))
-            .when(F.col("n_records") * parts > F.col("n_total"), F.lit("common"))
+            .when(own > bound, F.lit("common"))
             .otherwise(F.lit("useful")),
         )
         .drop("n_total")

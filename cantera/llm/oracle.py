@@ -61,6 +61,11 @@ _PAIRS = """
               FROM pairs JOIN counts a ON a.item = item_a JOIN counts b ON b.item = item_b, total
               WHERE n_ab * 250 >= n_total AND n_ab * n_total >= 3 * a.n * b.n)"""
 
+_MEASURES = """round(n_ab::DOUBLE * n_total / (n_a::DOUBLE * n_b), 6) AS lift,
+           round(2.0 * (g(n_ab, n_a * n_b, n_total) + g(n_a - n_ab, n_a * (n_total - n_b), n_total)
+                + g(n_b - n_ab, (n_total - n_a) * n_b, n_total)
+                + g(n_total - n_a - n_b + n_ab, (n_total - n_a) * (n_total - n_b), n_total)), 4) AS llr"""
+
 _WORDS = r"""
     SELECT {key} AS id, word, row_number() OVER (PARTITION BY {key} ORDER BY nr) AS place FROM (
         SELECT {key}, unnest(words) AS word, generate_subscripts(words, 1) AS nr FROM (
@@ -156,12 +161,9 @@ ORACLE: dict[str, str] = {
     "p5_found": f"SELECT row_a, row_id AS row_b FROM ({_RUNS}) WHERE row_a <> row_id",
     "p5_records": f"SELECT row_id, n_copies FROM ({_RUNS}) WHERE row_a = row_id",
     "p6_found": f"{_PAIRS} SELECT item_a, item_b FROM named",
-    "p6_pairs": f"""{_PAIRS}
-    SELECT item_a, item_b, n_ab, n_a, n_b, n_total, round(n_ab::DOUBLE * n_total / (n_a::DOUBLE * n_b), 6) AS lift,
-           round(2.0 * (g(n_ab, n_a * n_b, n_total) + g(n_a - n_ab, n_a * (n_total - n_b), n_total)
-                + g(n_b - n_ab, (n_total - n_a) * n_b, n_total)
-                + g(n_total - n_a - n_b + n_ab, (n_total - n_a) * (n_total - n_b), n_total)), 4) AS llr
-    FROM named""",
+    "p6_pairs": f"{_PAIRS} SELECT item_a, item_b, n_ab, n_a, n_b, n_total, {_MEASURES} FROM named",
+    "p6_significant": f"""{_PAIRS.replace("n * 250", "n * 100").replace("n_ab * 250", "n_ab * 100").replace("3 * a.n", "a.n")}
+    SELECT * FROM (SELECT item_a, item_b, n_ab, n_a, n_b, n_total, {_MEASURES} FROM named) WHERE llr >= 10.83""",
     "p7_found": _LEAKS,
     "p9_found": f"""{_STRETCHES}
     SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM shared a JOIN shared b USING (stretch) WHERE a.doc_id < b.doc_id""",

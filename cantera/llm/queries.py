@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     tracks = table(spark, d, "track_items")
     counts = frequency.term_frequencies(tracks, "raw_tags")
     total = tracks.agg(F.count(F.lit(1)).alias("n_total"))
-    return frequency.mark_frequency(counts, total, rare_at_most=2, common_over=1 / 25).withColumnRenamed("term", "tag")
+    return frequency.mark_frequency(counts, total, rare_at_most=2, common_over=Fraction(1, 25)).withColumnRenamed("term", "tag")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,10 +74,19 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = cooccurrence.cooccurrence(_baskets(spark, d), "items", min_support=1 / 250, min_lift=3)
+    return _measured(cooccurrence.cooccurrence(_baskets(spark, d), "items", min_support=Fraction(1, 250), min_lift=3))
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)})
 
 
+def p6_significant(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that meet more often than chance to one in a thousand, in a hundredth of the rows."""
+    pairs = cooccurrence.cooccurrence(_baskets(spark, d), "items", min_support=Fraction(1, 100), min_lift=1, min_llr=10.83)
+    return _measured(pairs)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).select("item_a", "item_b")
 
@@ -116,6 +126,6 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_found, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p7_found, p7_cleaned,
+    for f in (p1_found, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p6_significant, p7_found, p7_cleaned,
               p8_mix, p8_shares, p9_found, p9_spans, p9_parts)
 }

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 from itertools import combinations
 from math import log
 
@@ -196,6 +197,16 @@ def test_term_counts(spark):
     assert frequency.term_frequencies(df.limit(0), "tags").count() == 0
 
 
+def test_shares_are_compared_exactly(spark):
+    counts = spark.createDataFrame([("a", 55), ("b", 60), ("c", 61)], "term string, n_records long")
+    total = spark.createDataFrame([(100,)], "n_total long")
+    for share in (0.6, Fraction(3, 5)):
+        marks = {r.term: r.verdict for r in frequency.mark_frequency(counts, total, 2, share).collect()}
+        assert marks == {"a": "useful", "b": "useful", "c": "common"}
+    large = spark.createDataFrame([("a", 4 * 10**17)], "term string, n_records long")
+    assert frequency.mark_frequency(large, spark.createDataFrame([(10**18,)], "n_total long"), 2, 0.3).first().verdict == "common"
+
+
 # Formatting duplicates
 
 
@@ -268,3 +279,15 @@ def test_cooccurrence(spark, limit):
     for r in got:
         assert abs(r.llr - g2(r.n_ab, r.n_a, r.n_b, n)) < 1e-6 and abs(r.lift - r.n_ab * n / r.n_a / r.n_b) < 1e-9
     assert cooccurrence.cooccurrence(df.limit(0), "items", 0.1, 1).count() == 0
+    sure = cooccurrence.cooccurrence(df, "items", min_llr=20.0, max_broadcast_items=limit).collect()
+    assert {(r.item_a, r.item_b) for r in sure} == {p for p, c in pairs.items() if g2(c, items[p[0]], items[p[1]], n) >= 20}
+
+
+def test_support_is_exact_and_nothing_overflows(spark):
+    df = spark.createDataFrame([(["a", "b"],)] * 31 + [([],)] * 69, "items array<string>")
+    assert cooccurrence.cooccurrence(df, "items", min_support=0.3).count() == 1
+    assert cooccurrence.cooccurrence(df, "items", min_support=0.31).count() == 1
+    assert cooccurrence.cooccurrence(df, "items", min_support=0.32).count() == 0
+    n = (27 * 10**8, 3 * 10**9, 35 * 10**8, 4 * 10**9)
+    row = spark.createDataFrame([n], "ab long, a long, b long, n long").select(cooccurrence.log_likelihood(*map(F.col, ("ab", "a", "b", "n"))).alias("llr"))
+    assert row.first().llr == pytest.approx(g2(*n), rel=1e-9)
