@@ -80,6 +80,29 @@ _LEAKS = f"""
                   count(*) OVER (PARTITION BY id ORDER BY place ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM iw)
     SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (gram) WHERE dg.n = 10 AND ig.n = 10"""
 
+#: Words and what lies between them, in turn; a word goes with a hit, what lies between two words with both.
+_CLEANED = r"""
+    WITH cut AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{Nd}]+') AS words, regexp_extract_all(text, '[^\p{L}\p{Nd}]+') AS gaps,
+                        regexp_matches(text, '^[^\p{L}\p{Nd}]') AS late FROM documents),
+    dw AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM cut),
+    dg AS (SELECT doc_id, i, string_agg(lower(word), ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS gram,
+                  count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM dw),
+    iw AS (SELECT item_id, unnest(words) AS word, generate_subscripts(words, 1) AS i
+           FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{Nd}]+') AS words FROM eval_items)),
+    ig AS (SELECT string_agg(lower(word), ' ') OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS gram,
+                  count(*) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS n FROM iw),
+    hits AS (SELECT doc_id, i FROM dg WHERE n = 10 AND gram IN (SELECT gram FROM ig WHERE n = 10)),
+    hit AS (SELECT DISTINCT doc_id, i + unnest(range(10)) AS i FROM hits),
+    pieces AS (SELECT doc_id, 2 * i AS place, word AS piece, hit.i IS NOT NULL AS gone FROM dw LEFT JOIN hit USING (doc_id, i)
+               UNION ALL
+               SELECT g.doc_id, 2 * g.i + 1, g.gap, a.i IS NOT NULL AND b.i IS NOT NULL
+               FROM (SELECT doc_id, unnest(gaps) AS gap, generate_subscripts(gaps, 1) - late::INT AS i FROM cut) g
+               LEFT JOIN hit a ON a.doc_id = g.doc_id AND a.i = g.i LEFT JOIN hit b ON b.doc_id = g.doc_id AND b.i = g.i + 1),
+    kept AS (SELECT doc_id, coalesce(string_agg(piece, '' ORDER BY place) FILTER (NOT gone), '') AS kept,
+                    coalesce(sum(length(piece)) FILTER (gone), 0)::BIGINT AS n_removed FROM pieces GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE kept END AS text, coalesce(n_removed, 0) AS n_removed
+    FROM documents LEFT JOIN kept USING (doc_id)"""
+
 _STRETCHES = """
     WITH starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240),
     stretches AS (SELECT doc_id, i - 1 AS start, md5(substr(text, i, 240)) AS stretch FROM starts),
@@ -165,6 +188,7 @@ ORACLE: dict[str, str] = {
     "p6_significant": f"""{_PAIRS.replace("n * 250", "n * 100").replace("n_ab * 250", "n_ab * 100").replace("3 * a.n", "a.n")}
     SELECT * FROM (SELECT item_a, item_b, n_ab, n_a, n_b, n_total, {_MEASURES} FROM named) WHERE llr >= 10.83""",
     "p7_found": _LEAKS,
+    "p7_cleaned": _CLEANED,
     "p9_found": f"""{_STRETCHES}
     SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM shared a JOIN shared b USING (stretch) WHERE a.doc_id < b.doc_id""",
     "p9_spans": f"{_SPANS} SELECT doc_id, start, n_chars FROM spans",

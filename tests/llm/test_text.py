@@ -81,9 +81,10 @@ def frames(spark, docs=DOCS, items=ITEMS):
 
 @pytest.mark.parametrize("limit", [50_000, 1])
 def test_leaks(spark, limit):
-    docs, items = frames(spark)
-    got = {(r.doc_id, r.item_id): r.n_windows for r in leakage.find_leaks(docs, items, max_broadcast_items=limit).collect()}
-    assert got == {(1, 1): 2, (1, 5): 2, (3, 2): 1, (7, 1): 3000}
+    again = " ".join("wow such a long line of words that comes again".split())
+    docs, items = frames(spark, [*DOCS, (8, again, 0)], [*ITEMS, (6, f"{again}, {again}"), (None, again)])
+    got = {(r.doc_id, r.item_id): r.n_windows for r in leakage.find_leaks(docs, items, max_broadcast_words=limit).collect()}
+    assert got == {(1, 1): 2, (1, 5): 2, (3, 2): 1, (7, 1): 3000, (8, 6): 1}
     assert leakage.find_leaks(docs.limit(0), items).count() == 0 and leakage.find_leaks(docs, items.limit(0)).count() == 0
 
 
@@ -101,15 +102,15 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == expected
 
 
-def test_leaks_are_cut_out(spark):
-    docs, items = frames(spark)
-    rows = leakage.remove_leaks(docs, items).collect()
-    assert len(rows) == len(DOCS)
+@pytest.mark.parametrize("limit", [50_000, 1])
+def test_leaks_are_cut_out(spark, limit):
+    docs, items = frames(spark, [*DOCS, (9, "KEEP THIS İ Case İstanbul, ONE two three four five six seven eight nine ten; and İ THIS", 0), (10, "ALL İ KEPT", 0)])
+    rows = leakage.remove_leaks(docs, items, max_broadcast_words=limit).collect()
+    assert len(rows) == len(DOCS) + 2
     by = {r.doc_id: r for r in rows}
     assert by[1].text == "xx  yy" and by[2].text == DOCS[1][1] and by[3].text == "" and by[4].text is None and by[6].n_removed == 0
+    assert by[9].text == "KEEP THIS İ Case İstanbul,  İ THIS" and by[10].text == "ALL İ KEPT"
     assert leakage.find_leaks(spark.createDataFrame([(r.doc_id, r.text) for r in rows], "doc_id long, text string"), items).count() == 0
-    with pytest.raises(ValueError):
-        leakage.remove_leaks(docs, items, max_broadcast_items=1)
 
 
 # Shared spans
