@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantera.session import checkpoint
+from cantera.session import checkpoint, written
 
 #: White space and punctuation of any script.
 IGNORED = r"[\p{IsWhite_Space}\p{P}]+"
@@ -114,10 +114,12 @@ def formatting_runs(df: DataFrame, key: str, exact: list[str], terms: str) -> tu
         F.col(key).cast("bigint").alias("row_id"),
         record_key([F.col(c) for c in exact], F.col(terms)).alias("key"),
     )
-    order = [F.xxhash64("key"), F.col("key"), F.col("row_id")]
+    keyed = written(rows.withColumn("hash", F.xxhash64("key")), "keys")  # the sampling of the ranges reads them as well
+    order = ["hash", "key", "row_id"]
     scanned = checkpoint(
-        rows.repartitionByRange(*order)
+        keyed.repartitionByRange(*order)
         .sortWithinPartitions(*order)
+        .select("row_id", "key")
         .mapInArrow(_scan, "kind string, row_id bigint, head bigint, n bigint, opens boolean, part int, key string")
     )
     edges = scanned.where("kind = 'edge'")

@@ -19,12 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantera.session import written
+
 #: Letters of other scripts that are drawn like a Latin letter. Each Latin letter
 #: is met at most once per script and case, so text wholly in one script stays distinct.
+#: Cyrillic, Greek and Armenian only; look-alikes of other scripts stay apart.
 LOOKALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H",
-    "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",
+    "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W",
     "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y",
     "х": "x", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l",
     # Greek
@@ -235,7 +238,7 @@ def look_alike_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x"),
     ).select("row_id", "x.field", "x.value").where(F.col("value").isNotNull())
     values = long.groupBy("field", "value").agg(F.min("row_id").alias("first_row"))
-    folded = fold_values(values, "value", "form")
+    folded = written(fold_values(values, "value", "form"), "forms")  # folded once for the groups and for the join
     groups = folded.groupBy("field", "form").agg(
         F.min(F.struct("first_row", "value")).alias("lead"), F.count(F.lit(1)).alias("n_spellings")
     )
@@ -255,5 +258,3 @@ def spelling_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return fold_values(long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_rows")), "value", "form").select(
         "field", "value", "form", "n_rows"
     )
-
-

@@ -115,8 +115,8 @@ def mix(
     null or not wanted, are not used. Shares are those of the sources that have
     documents, scaled to 1. Without a ``budget`` it is the largest total at which no
     source runs out; with a larger one the sources that run out fall short of their
-    share, and the others do not fill up for them. The first use over the budget and
-    all after it are left out.
+    share, and the others do not fill up for them. A use whose finish time is beyond
+    the budget is left out, and so are the first use over the budget and all after it.
 
     The report (source, target_share, mix_share, n_docs, n_uses, n_tokens, reached_share)
     has a row for every wanted source. Target rows with a null source, a share that is
@@ -136,16 +136,19 @@ def mix(
     size = docs.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"), F.count(F.lit(1)).alias("n_docs"))
     rates = checkpoint(targets.join(size, "source"))
     total_share = rates.agg(F.sum("target_share")).first()[0] or 1.0
-    rates = rates.withColumn("mix_share", F.col("target_share") / F.lit(total_share))
+    # to twelve digits, so that the order in which shares were added up makes no difference
+    rates = rates.withColumn("mix_share", F.round(F.col("target_share") / F.lit(total_share), 12))
     if budget is None:  # one number of a table with one row for each source
-        room = F.floor(F.col("max_repeats") * F.col("source_tokens") / F.col("mix_share"))
+        room = F.floor(F.col("max_repeats") * F.col("source_tokens") / F.col("mix_share") + 1e-6)
         budget = rates.agg(F.min(room)).first()[0] or 0
 
-    placed = docs.withColumn("place", F.xxhash64(F.lit(seed), "source", "doc_id", "n_tokens"))
+    placed = docs.withColumn("place", F.md5(F.concat_ws(":", F.lit(seed), "source", "doc_id", "n_tokens")))
     placed = running_sum(placed.select("source", "place", "doc_id", "n_tokens"), "source", ["place", "doc_id", "n_tokens"], "n_tokens", "upto")
     uses = (
         placed.join(shared(rates.select("source", "max_repeats", "source_tokens", "mix_share")), "source")
-        .withColumn("use", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
+        .withColumn("most", F.least("max_repeats", F.lit(2) + F.floor((F.lit(float(budget)) * F.col("mix_share") - F.col("upto")) / F.col("source_tokens"))))
+        .where("most > 0")  # uses beyond the budget are not even made; the exact bound follows
+        .withColumn("use", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))))
         .withColumn("finish", ((F.col("use") - 1) * F.col("source_tokens") + F.col("upto")) / F.col("mix_share"))
         .where(F.col("finish") <= F.lit(float(budget)) * (1 + 1e-9))
         .select("finish", "source", "doc_id", "use", "n_tokens")

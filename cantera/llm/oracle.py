@@ -103,6 +103,20 @@ _CLEANED = r"""
     SELECT doc_id, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE kept END AS text, coalesce(n_removed, 0) AS n_removed
     FROM documents LEFT JOIN kept USING (doc_id)"""
 
+#: The mix with characters for tokens: running sums of each source in its shuffled order, then of all uses by finish time.
+_MIX = """
+    WITH targets AS (SELECT lower(source) AS source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM source_targets
+                     WHERE source IS NOT NULL AND target_share > 0 AND max_repeats > 0 GROUP BY lower(source)),
+    docs AS (SELECT doc_id, lower(source) AS source, length(text) AS n FROM documents WHERE length(text) > 0 AND lower(source) IN (SELECT source FROM targets)),
+    rates AS (SELECT *, round(target_share / (SELECT sum(target_share) FROM targets WHERE source IN (SELECT source FROM docs)), 12) AS mix_share
+              FROM targets JOIN (SELECT source, sum(n)::BIGINT AS total, count(*) AS n_docs FROM docs GROUP BY source) USING (source)),
+    budget AS (SELECT min(floor(max_repeats * total / mix_share + 1e-6))::BIGINT AS most FROM rates),
+    placed AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY md5(concat_ws(':', 17, source, doc_id, n)), doc_id)::BIGINT AS upto FROM docs),
+    uses AS (SELECT *, ((use - 1) * total + upto) / mix_share AS finish
+             FROM (SELECT placed.*, total, mix_share, unnest(range(1, max_repeats + 1)) AS use FROM placed JOIN rates USING (source))),
+    ordered AS (SELECT *, sum(n) OVER (ORDER BY finish, source, doc_id, use, n) AS upto_all FROM uses, budget WHERE finish <= most * (1 + 1e-9)),
+    mixture AS (SELECT doc_id, source, use::INT AS use, n FROM ordered WHERE upto_all <= most)"""
+
 _STRETCHES = """
     WITH starts AS (SELECT doc_id, text, unnest(range(1, length(text) - 238)) AS i FROM documents WHERE length(text) >= 240),
     stretches AS (SELECT doc_id, i - 1 AS start, md5(substr(text, i, 240)) AS stretch FROM starts),
@@ -189,6 +203,13 @@ ORACLE: dict[str, str] = {
     SELECT * FROM (SELECT item_a, item_b, n_ab, n_a, n_b, n_total, {_MEASURES} FROM named) WHERE llr >= 10.83""",
     "p7_found": _LEAKS,
     "p7_cleaned": _CLEANED,
+    "p8_mix_by_length": f"{_MIX} SELECT doc_id, source, use, n AS n_chars FROM mixture",
+    "p8_shares_by_length": f"""{_MIX},
+    got AS (SELECT source, count(*) AS n_uses, sum(n)::BIGINT AS n_chars FROM mixture GROUP BY source)
+    SELECT source, round(t.target_share, 9) AS target_share, round(coalesce(mix_share, 0.0), 9) AS mix_share, coalesce(n_docs, 0) AS n_docs,
+           coalesce(n_uses, 0) AS n_uses, coalesce(n_chars, 0) AS n_chars,
+           round(coalesce(n_chars / (SELECT sum(n_chars) FROM got), 0.0), 9) AS reached_share
+    FROM targets t LEFT JOIN rates USING (source) LEFT JOIN got USING (source)""",
     "p9_found": f"""{_STRETCHES}
     SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM shared a JOIN shared b USING (stretch) WHERE a.doc_id < b.doc_id""",
     "p9_spans": f"{_SPANS} SELECT doc_id, start, n_chars FROM spans",

@@ -112,6 +112,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def _mix_by_length(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n_tokens"))
+    return mixing.mix(docs, table(spark, d, "source_targets"))
+
+
+def p8_mix_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with characters for tokens, which SQL can count."""
+    return _mix_by_length(spark, d)[0].withColumnRenamed("n_tokens", "n_chars")
+
+
+def p8_shares_by_length(spark: SparkSession, d: str) -> DataFrame:
+    shares = _mix_by_length(spark, d)[1].withColumnRenamed("n_tokens", "n_chars")
+    return shares.withColumns({c: F.round(c, 9) for c in ("target_share", "mix_share", "reached_share")})
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(*spans.shared_passages(table(spark, d, "documents"), min_length=240))
 
@@ -127,5 +142,5 @@ def p9_parts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (p1_found, p2_found, p2_forms, p3_found, p3_classes, p4_found, p4_terms, p5_found, p5_records, p6_found, p6_pairs, p6_significant, p7_found, p7_cleaned,
-              p8_mix, p8_shares, p9_found, p9_spans, p9_parts)
+              p8_mix, p8_shares, p8_mix_by_length, p8_shares_by_length, p9_found, p9_spans, p9_parts)
 }

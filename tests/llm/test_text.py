@@ -54,6 +54,16 @@ def test_letters_of_one_script_stay_apart():
         assert len(set(folded)) == len(letters)
 
 
+def test_no_two_letters_of_one_script_are_alike():
+    met = defaultdict(list)
+    for letter, plain in lookalike.LOOKALIKES.items():
+        script = unicodedata.name(letter).split()[0]
+        if script != "LATIN":
+            met[script, plain].append(letter)
+    assert [x for x in met.values() if len(x) > 1 and unicodedata.category(x[0])[0] == "L"] == []
+    assert len(set(lookalike.fold(pa.array(["УЛ", "ҮЛ"])).to_pylist())) == 2
+
+
 def test_look_alike_rows(spark):
     rows = [(3, "Abc", None, 1), (1, "Аbc", "x", 1), (2, "Abc", "x​", 1), (4, "abc", None, 1), (5, None, "", 1), (6, "Abc", " ", 1), (2, "Abc", "x​", 1)]
     df = spark.createDataFrame(rows, "row_id long, title string, artist string, value int")
