@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cantera.functions.text import bound, contains_any, distinct_ignoring_case, normalised, one_of, or_empty
 from cantera.operators.gates import genre_tags, style_tags
-from cantera.operators.matcher import PRIMARY, SUB, match_lists, match_tags, targets_of
+from cantera.operators.matcher import PRIMARY, SUB, match_tags, targets_of
+from cantera.operators.text_pass import with_text
 from cantera.plans import vocab as V
 
 
@@ -38,9 +39,8 @@ def primary_genre(tags: Column) -> Column:
 
 
 def with_primary_genre(df: DataFrame, tags: str, into: str = "genre") -> DataFrame:
-    """The same for a column of many rows, by the Arrow matcher."""
-    found = match_lists(df.withColumn("_tags", genre_tags(F.col(tags))), {"_found": (("_tags",), PRIMARY)})
-    return found.withColumn(into, vote(F.col("_found"), F.col("_tags"))).drop("_tags", "_found")
+    """The same for a column of many rows, in the Arrow pass."""
+    return with_text(df, every=tags, genre=into)
 
 
 def sub_genres(specific: Column, every: Column) -> Column:
@@ -59,18 +59,9 @@ def sub_genres(specific: Column, every: Column) -> Column:
     )
 
 
-def style_candidates(specific: Column, every: Column) -> dict[str, Column]:
-    """The lists that styles are looked for in, one after the other."""
-    own, wide = or_empty(F.array_compact(specific)), or_empty(F.array_compact(every))
-    first = F.when(F.size(wide) == 0, wide).when(F.size(own) > 0, own).otherwise(wide)
-    return {"_first": style_tags(first), "_again": style_tags(F.when(F.size(own) > 0, wide).otherwise(F.slice(wide, 1, 0)))}
-
-
 def with_sub_genres(df: DataFrame, specific: str, every: str, into: str = "sub_genres") -> DataFrame:
-    """The same for columns of many rows, by the Arrow matcher."""
-    lists = style_candidates(F.col(specific), F.col(every))
-    found = match_lists(df.withColumns(lists), {"_styles": (tuple(lists), SUB)})
-    return found.withColumn(into, targets_of(F.col("_styles"))).drop(*lists, "_styles")
+    """The same for columns of many rows, in the Arrow pass."""
+    return with_text(df, specific, every, styles=into)
 
 
 def elevated(genre: Column, subs: Column) -> Column:

@@ -384,11 +384,11 @@ class _Lookup:
 
 
 @cache
-def _lookup(vocabulary: Vocabulary) -> _Lookup:
+def lookup(vocabulary: Vocabulary) -> _Lookup:
     return _Lookup(vocabulary)
 
 
-def _matched(alternatives: list[pa.Array], lookup: _Lookup, k: int) -> pa.Array:
+def _matched(alternatives: list[pa.Array], known: _Lookup, k: int) -> pa.Array:
     """Matches of each row's first list that has any."""
     rows = []
     for lists in alternatives:
@@ -401,7 +401,7 @@ def _matched(alternatives: list[pa.Array], lookup: _Lookup, k: int) -> pa.Array:
     for i in range(len(alternatives[0])):
         for values, ends in rows:
             a, b = ends[i], ends[i + 1]
-            if a < b and (found := lookup.match(values[a : min(b, a + TOP_TAGS)], k)):
+            if a < b and (found := known.match(values[a : min(b, a + TOP_TAGS)], k)):
                 out += found
                 break
         sizes.append(len(out))
@@ -426,7 +426,7 @@ def match_lists(df: DataFrame, wanted: dict[str, tuple[tuple[str, ...], Vocabula
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                _matched([batch.column(columns.index(t)) for t in tags], _lookup(vocabulary), k)
+                _matched([batch.column(columns.index(t)) for t in tags], lookup(vocabulary), k)
                 for tags, vocabulary in wanted.values()
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*columns, *wanted])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cantera.functions.text import any_of, bound, constant, distinct_ignoring_case, one_of, or_empty
 from cantera.operators.gates import mood_tags
-from cantera.operators.matcher import MOODS, Vocabulary, match_lists, match_tags, targets_of
+from cantera.operators.matcher import MOODS, Vocabulary, match_tags, targets_of
+from cantera.operators.text_pass import with_text
 from cantera.plans import vocab as V
 
 
@@ -27,9 +28,8 @@ def text_moods(
 
 
 def with_text_moods(df: DataFrame, tags: str, into: str, vocabulary: Vocabulary = MOODS) -> DataFrame:
-    """The same for a column of many rows with ``artist`` and ``album``, by the Arrow matcher."""
-    df = df.withColumn("_kept", mood_tags(F.col(tags), F.col("artist"), F.col("album")))
-    return match_lists(df, {"_found": (("_kept",), vocabulary)}).withColumn(into, targets_of(F.col("_found"))).drop("_kept", "_found")
+    """The same for a column of many rows with ``artist`` and ``album``, in the Arrow pass."""
+    return with_text(df, tags, moods=into, vocabulary=vocabulary)
 
 
 def seeded_moods(subs: Column) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantera.functions.text import or_empty
-from cantera.operators import audio, gates, genre, moods
-from cantera.operators.matcher import MOODS, PRIMARY, SUB, Vocabulary, match_lists, targets_of
+from cantera.operators import audio, genre, moods
+from cantera.operators.matcher import MOODS, Vocabulary
+from cantera.operators.text_pass import with_text
 
 NONE = "array<string>"
 
@@ -51,28 +52,19 @@ def enrich(
     where no genre was found, leave text styles and the elevation of Rock out.
     """
     nothing = F.array().cast(NONE)
-    out, wanted = tracks, {}
-    if features.genre:
-        out = out.withColumn("_tags", gates.genre_tags(F.col(every)))
-        wanted["_genres"] = (("_tags",), PRIMARY)
-    if features.subgenre:
-        lists = genre.style_candidates(F.col(specific), F.col(every))
-        out = out.withColumns(lists)
-        wanted["_styles"] = (tuple(lists), SUB)
-    if features.mood and not similarity:
-        out = out.withColumn("_gated", gates.mood_tags(F.col(specific), F.col("artist"), F.col("album")))
-        wanted["_moods"] = (("_gated",), vocabulary)
-    if wanted:  # all matching in one pass
-        out = match_lists(out, wanted)
-    text_genre = genre.vote(F.col("_genres"), F.col("_tags")) if features.genre else F.lit(None).cast("string")
-    out = out.withColumn("_text_genre", text_genre)
+    here = {"genre": "_text_genre"} if features.genre else {}
+    here |= {"styles": "_styles"} if features.subgenre else {}
+    here |= {"moods": "_text"} if features.mood and not similarity else {}
+    out = with_text(tracks, specific, every, vocabulary=vocabulary, **here) if here else tracks  # all matching in one pass
+    if not features.genre:
+        out = out.withColumn("_text_genre", F.lit(None).cast("string"))
     if genre_top and features.genre:
         out = out.withColumn("_audio", F.when(F.col("_text_genre").isNull(), audio.audio_genres(F.col(genre_top))))
         heard, heard_subs = F.col("_audio.genre"), or_empty(F.col("_audio.sub_genres"))
     else:
         heard, heard_subs = F.lit(None).cast("string"), nothing
     out = out.withColumn("_heard", heard_subs)
-    text_subs = targets_of(F.col("_styles")) if features.subgenre else nothing
+    text_subs = F.col("_styles") if features.subgenre else nothing
     out = out.withColumn("sub_genres", F.when(F.size("_heard") > 0, F.col("_heard")).otherwise(text_subs))
     found = F.coalesce("_text_genre", heard)
     lifted = genre.elevated(found, F.col("sub_genres")) if features.subgenre else found
@@ -86,8 +78,6 @@ def enrich(
         if similarity:
             found = moods.text_moods(F.col(specific), F.col("artist"), F.col("album"), vocabulary, F.col(similarity))
             out = out.withColumn("_text", found)
-        else:
-            out = out.withColumn("_text", targets_of(F.col("_moods")))
         heard_moods = audio.audio_moods(F.col("_top"), F.col("bpm"), vocabulary)["accepted"] if mood_top else nothing
         out = out.withColumn("_heard_moods", heard_moods)
         final: Column = moods.final_moods(
@@ -97,8 +87,7 @@ def enrich(
         final = nothing
     out = out.withColumn("moods", final).withColumn("mapped_mood", moods.primary_mood(F.col("moods")))
     out = out.withColumn("confidence", F.when(F.col("mapped_mood").isNotNull(), 1.0).otherwise(0.0))
-    added = [*(c for tags, _ in wanted.values() for c in tags), *wanted]
-    return out.drop(*added, "_text_genre", "_audio", "_heard", "_top", "_text", "_heard_moods")
+    return out.drop("_styles", "_text_genre", "_audio", "_heard", "_top", "_text", "_heard_moods")
 
 
 def is_enriched() -> Column:
