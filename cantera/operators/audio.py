@@ -6,7 +6,10 @@ function from a batch of file contents to frames of scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -45,6 +48,80 @@ def infer(files: DataFrame, model: AudioModel, key: str = "path") -> DataFrame:
     return files.select(key, "content").mapInPandas(run, "key string, frame int, scores array<double>")
 
 
+@dataclass
+class TwoStage:
+    """A model of two parts: vectors of a recording's frames, and a head that scores them."""
+
+    labels: list[str]
+    embed: Callable[[bytes], list[list[float]]]
+    head: Callable[[list[list[float]]], list[list[float]]]
+
+    def frames(self, content: bytes) -> list[list[float]]:
+        return self.head(self.embed(content))
+
+
+#: The models looked for, in this order, where the configured one is missing.
+FALLBACK_MODELS = ("mtg_jamendo_moodtheme-discogs-effnet-1.pb", "genre_discogs400-discogs-effnet-1.pb")
+#: A smaller graph or description is no real one.
+LEAST_GRAPH, LEAST_DESCRIPTION = 10_000, 100
+
+
+def chosen_model(folder: str, configured: str) -> str | None:
+    """The path of the configured model, else of a fallback, else none; files too small to be
+    a graph do not count."""
+    wanted = Path(folder, configured)
+    if configured and wanted.is_file() and wanted.stat().st_size >= LEAST_GRAPH:
+        return str(wanted)
+    for name in FALLBACK_MODELS:
+        path = Path(folder, name)
+        if path.is_file() and path.stat().st_size > LEAST_GRAPH:
+            return str(path)
+    return None
+
+
+def model_description(path: str) -> dict:
+    """labels, input, output and two_stage of a model, from the JSON file beside it where that is real."""
+    found = {"labels": [], "input": "serving_default_model_Placeholder", "output": "PartitionedCall:0", "two_stage": "effnet" in Path(path).name.lower()}
+    beside = Path(path).with_suffix(".json")
+    if not beside.is_file() or beside.stat().st_size <= LEAST_DESCRIPTION:
+        return found
+    try:
+        about = json.loads(beside.read_text(encoding="utf-8"))
+        ports = about.get("schema", {})
+        named = [x["name"] for x in ports.get("inputs", [])[:1] if "name" in x]
+        outputs = ports.get("outputs", [])
+        scores = [x for x in outputs if x.get("output_purpose") == "predictions"] or outputs
+        told = [x["name"] for x in scores[:1] if "name" in x]
+        return found | {"labels": about.get("classes", [])} | ({"input": named[0]} if named else {}) | ({"output": told[0]} if told else {})
+    except (ValueError, AttributeError, TypeError):
+        return found
+
+
+def tempo(files: DataFrame, detectors: list[Callable[[bytes], float | None]], key: str = "path") -> DataFrame:
+    """(key, bpm) from a ``binaryFile`` frame: the first detector that finds a positive tempo
+    counts, rounded half to even; a detector that fails finds none."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            found = []
+            for content in pdf["content"]:
+                bpm = None
+                for detect in detectors:
+                    try:
+                        bpm = round(float(detect(bytes(content)) or 0)) or None
+                    except Exception:  # noqa: BLE001 - the next one is asked
+                        bpm = None
+                    if bpm and bpm > 0:
+                        break
+                    bpm = None
+                found.append(bpm)
+            yield pd.DataFrame({key: pdf[key], "bpm": pd.array(found, "Int32")})
+
+    return files.select(key, "content").mapInPandas(run, f"`{key}` string, bpm int")
+
+
 def pooled(frames: DataFrame, key: str, scores: str) -> DataFrame:
     """(key, class, score): the mean of every class over a key's frames, combined map-side."""
     return (

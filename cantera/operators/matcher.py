@@ -315,6 +315,10 @@ def best_pair(tags: Column, vocabulary: Vocabulary, similarity: Column, threshol
     return bound(F.array_max(flat), told)
 
 
+#: The same under its other name.
+map_tags = best_pair
+
+
 class _Lookup:
     """What each distinct tag hits in a vocabulary, kept between batches of a worker."""
 

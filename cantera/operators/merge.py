@@ -57,6 +57,22 @@ def file_modified(path: Column, existing: Column, genres: Column, moods: Column,
     return (F.coalesce(path, F.lit("")) != "") & extension(F.coalesce(path, F.lit(""))).isin(*FRAMES) & changed
 
 
+def _first_frame(kind: str):
+    named = F.create_map(*[F.lit(x) for field, names in FRAMES[kind].items() for x in (field, names[0])])
+    return lambda k, v: F.element_at(named, k)
+
+
+def held_frames(path: Column, existing: Column) -> Column:
+    """A file's fields (genre, mood, bpm) under the frames that files of its kind keep them in."""
+    ext = extension(F.coalesce(path, F.lit("")))
+    kinds = {".mp3": ext == ".mp3", ".flac": ext == ".flac", ".m4a": ext.isin(".m4a", ".mp4")}
+    out = F.create_map().cast("map<string,array<string>>")
+    for kind, fits in kinds.items():
+        fields = F.map_filter(existing, lambda k, v: k.isin(*FRAMES[kind]))
+        out = F.when(fits & existing.isNotNull(), F.transform_keys(fields, _first_frame(kind))).otherwise(out)
+    return out
+
+
 def frame_writes(path: Column, frames: Column, genres: Column, moods: Column, bpm: Column, overwrite: Column) -> Column:
     """ARRAY<STRUCT<frame, values>> to be written to a file, each frame by itself.
 

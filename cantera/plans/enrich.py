@@ -6,6 +6,7 @@ joined, nothing is shuffled any more.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from cantera.functions.text import or_empty
 from cantera.operators import audio, genre, moods
-from cantera.operators.matcher import MOODS, Vocabulary
+from cantera.operators.embedding import Embedder, with_similarity
+from cantera.operators.matcher import MOODS, Vocabulary, match_tags, targets_of
 from cantera.operators.text_pass import with_text
 
 NONE = "array<string>"
@@ -43,18 +45,24 @@ def enrich(
     mood_top: str | None = None,
     genre_top: str | None = None,
     similarity: str | None = None,
+    embedder: Callable[[], Embedder] | None = None,
+    threshold: float = 0.45,
+    audio_threshold: float = 0.1,
 ) -> DataFrame:
     """Adds genre, sub_genres, genres, bpm, moods, mapped_mood and confidence.
 
     ``specific`` are the tags of the track itself, ``every`` those of all sources. The
-    optional columns ``mood_top`` and ``genre_top`` hold audio predictions and
-    ``similarity`` the cosines of mood targets to the gated tags. Audio styles, taken
+    optional columns ``mood_top`` and ``genre_top`` hold audio predictions, whose moods count
+    from ``audio_threshold`` on. With an ``embedder`` moods are also reached by the
+    cosines of its vectors from ``threshold`` on; the column ``similarity`` may hold the
+    cosines of mood targets to the gated tags instead. Audio styles, taken
     where no genre was found, leave text styles and the elevation of Rock out.
     """
     nothing = F.array().cast(NONE)
     here = {"genre": "_text_genre"} if features.genre else {}
     here |= {"styles": "_styles"} if features.subgenre else {}
-    here |= {"moods": "_text"} if features.mood and not similarity else {}
+    vectors = features.mood and (similarity is not None or embedder is not None)
+    here |= ({"gate": "_gated"} if vectors else {"moods": "_text"}) if features.mood else {}
     out = with_text(tracks, specific, every, vocabulary=vocabulary, **here) if here else tracks  # all matching in one pass
     if not features.genre:
         out = out.withColumn("_text_genre", F.lit(None).cast("string"))
@@ -75,10 +83,12 @@ def enrich(
     if features.mood:
         top = or_empty(F.col(mood_top) if mood_top else F.lit(None).cast(audio.TOP), audio.TOP[6:-1])
         out = out.withColumn("_top", top)
-        if similarity:
-            found = moods.text_moods(F.col(specific), F.col("artist"), F.col("album"), vocabulary, F.col(similarity))
-            out = out.withColumn("_text", found)
-        heard_moods = audio.audio_moods(F.col("_top"), F.col("bpm"), vocabulary)["accepted"] if mood_top else nothing
+        if vectors:
+            if similarity is None:
+                out = with_similarity(out, "_gated", vocabulary, embedder, "_cosines")
+            cosines = F.col(similarity or "_cosines")
+            out = out.withColumn("_text", targets_of(match_tags(F.col("_gated"), vocabulary, similarity=cosines, threshold=threshold)))
+        heard_moods = audio.audio_moods(F.col("_top"), F.col("bpm"), vocabulary, audio_threshold)["accepted"] if mood_top else nothing
         out = out.withColumn("_heard_moods", heard_moods)
         final: Column = moods.final_moods(
             F.col("_text"), F.col("sub_genres"), F.col("_heard_moods"), F.col("bpm"), F.col("_top")
@@ -87,7 +97,7 @@ def enrich(
         final = nothing
     out = out.withColumn("moods", final).withColumn("mapped_mood", moods.primary_mood(F.col("moods")))
     out = out.withColumn("confidence", F.when(F.col("mapped_mood").isNotNull(), 1.0).otherwise(0.0))
-    return out.drop("_styles", "_text_genre", "_audio", "_heard", "_top", "_text", "_heard_moods")
+    return out.drop("_styles", "_gated", "_cosines", "_text_genre", "_audio", "_heard", "_top", "_text", "_heard_moods")
 
 
 def is_enriched() -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,17 +49,19 @@ def library(spark: SparkSession, d: str) -> DataFrame:
 
 def drawn_library(spark: SparkSession, d: str) -> DataFrame:
     """Catalogue rows whose tags are drawn from the taxonomy: all of them and, as the
-    track's own, those at even places."""
+    track's own, those at even places. Beside the queries on the stored tags, for
+    the rules that these never meet."""
     tags = F.array_compact(or_empty(F.col("raw_tags")))
     drawn = F.transform(tags, lambda t, i: drawn_tag(t, i, F.col("row_id")))
     rows = table(spark, d, "track_items").select("row_id", "rating_key", "artist", "album", drawn.alias("all_tags"))
-    return rows.withColumn("specific_tags", F.filter("all_tags", lambda t, i: i % 2 == 0))
+    rows = rows.withColumn("specific_tags", F.filter("all_tags", lambda t, i: i % 2 == 0))
+    return rows.join(latest_tempo(spark, d), "rating_key", "left")
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    """(key, class, score): embeddings as frames of ten recordings, in exact arithmetic."""
+    """(key, class, score): embeddings as frames of recordings of eight frames, in exact arithmetic."""
     scores = F.transform("embedding", lambda x: F.round(F.abs(x.cast("double")) * 1e6).cast("bigint"))
-    frames = table(spark, d, "embeddings").select(F.col("label").alias("key"), scores.alias("scores"))
+    frames = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("int").alias("key"), scores.alias("scores"))
     means = audio.pooled(frames, "key", "scores")
     spread = (F.col("class") % 10 + 1) / F.lit(10.0)
     return means.select("key", "class", F.round(F.col("score") / 1e6 * spread, 6).alias("score"))
@@ -67,3 +70,18 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 def recordings(spark: SparkSession, d: str) -> DataFrame:
     """(key, top): the ten best labelled predictions of each recording."""
     return audio.top_labels(audio.top_classes(predictions(spark, d), "key"), "key", list(LABELS))
+
+
+def genre_recordings(spark: SparkSession, d: str) -> DataFrame:
+    """(key, genre_top): the same predictions under labels of genres and styles."""
+    labels = [GENRE_LABELS[i % len(GENRE_LABELS)] for i in range(len(LABELS))]
+    return audio.top_labels(audio.top_classes(predictions(spark, d), "key"), "key", labels).withColumnRenamed("top", "genre_top")
+
+
+class LetterCounts:
+    """A small embedder without a model: how often each letter occurs."""
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.array([[t.lower().count(c) for c in self.letters] for t in texts], float)

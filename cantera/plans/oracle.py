@@ -10,7 +10,7 @@ from cantera.operators.matcher import MOOD_TAGS, MOODS, PRIMARY, SUB, Vocabulary
 from cantera.operators.merge import FRAMES
 from cantera.plans import library as lib
 from cantera.plans import vocab as V
-from cantera.plans.queries import TARGETS, TEMPI, V_MOODS
+from cantera.plans.queries import EXCLUDING, RECORDINGS, TARGETS, TEMPI
 
 
 def text(value) -> str:
@@ -204,7 +204,7 @@ def gated(relation: str, tags: str, into: str) -> str:
 
 _TOP = """SELECT key, list({label: label, score: score} ORDER BY rank) AS top FROM ranked GROUP BY key"""
 MEANS = """
-cells AS (SELECT label AS key, generate_subscripts(embedding, 1) - 1 AS class,
+cells AS (SELECT (vec_id // 8)::INT AS key, generate_subscripts(embedding, 1) - 1 AS class,
                  round(abs(unnest(embedding)::DOUBLE) * 1e6)::BIGINT AS x FROM embeddings),
 means AS (SELECT key, class, round(avg(x) / 1e6 * ((class % 10 + 1) / 10.0::DOUBLE), 6) AS score FROM cells GROUP BY key, class)"""
 RANKED = f"""{MEANS},
@@ -261,7 +261,8 @@ heard AS (SELECT *, CASE WHEN score >= 0.1 THEN moods ELSE []::VARCHAR[] END AS
 SEEDS = f"MAP({array(V.GENRE_MOOD_SEEDS)}, [{', '.join(array(v) for v in V.GENRE_MOOD_SEEDS.values())}])"
 _SEEDED = f"flatten(list_transform(sub_genres, lambda s: coalesce({SEEDS}[s], [])))"
 
-MOODED = f"""{DRAWN}, {GENRE}, {SUBS},
+def mooded(base: str) -> str:
+    return f"""{base}, {GENRE}, {SUBS},
 tm_in AS ({gated("library", "specific_tags", "mtags")}),
 {matches("tm", "tm_in", "mtags", MOODS)}, {names_of("tm", "moods")},
 {SURE}, quiet AS (SELECT DISTINCT key, NULL::INT AS bpm FROM means), {heard("quiet")},
@@ -269,7 +270,7 @@ mooded AS (SELECT styled.*, coalesce(tm_list.moods, []) AS text, tops.top,
                   CASE WHEN row_id % 3 <> 0 THEN coalesce(heard.accepted, []) ELSE [] END AS audio,
                   coalesce({ordered_distinct("seeds0")}, []) AS seeds
            FROM (SELECT styled.*, {_SEEDED} AS seeds0 FROM styled) styled LEFT JOIN tm_list USING (row_id)
-           LEFT JOIN tops ON tops.key = row_id % 10 LEFT JOIN heard ON heard.key = row_id % 10)"""
+           LEFT JOIN tops ON tops.key = row_id % {RECORDINGS} LEFT JOIN heard ON heard.key = row_id % {RECORDINGS})"""
 
 
 def predicted(label: str) -> str:
@@ -310,14 +311,12 @@ def specific_first(moods: str) -> str:
     return f"list_concat({without(moods, ['energetic', 'lively'])}, {general})"
 
 
-_NAMES = [*V_MOODS, *(m.lower() for m in V_MOODS)]
-DRAWN_MOODS = f"""
+MOOD_LISTS = f"""
 tempo AS ({TEMPO}),
-m0 AS (SELECT row_id, rating_key, list_transform({SPECIFIC},
-           lambda t, i: ({array(_NAMES)})[((length(t) * 13 + (i - 1) * 5 + row_id) % {len(_NAMES)} + 1)::INT]) AS names FROM track_items),
-drawn AS (SELECT row_id, {ordered_distinct("names")} AS moods, {BPM} AS bpm FROM m0 LEFT JOIN tempo USING (rating_key))"""
+m0 AS (SELECT row_id, rating_key, list_filter(list_concat(coalesce(current_moods, []), coalesce(raw_tags, [])), lambda x: x IS NOT NULL) AS names FROM track_items),
+listed AS (SELECT row_id, {ordered_distinct("names")} AS moods, {BPM} AS bpm FROM m0 LEFT JOIN tempo USING (rating_key))"""
 
-_CHAIN, _LAST = conflict_chain("drawn", "moods", "row_id")
+_CHAIN, _LAST = conflict_chain("listed", "moods", "row_id")
 _FULL, _FULL_LAST = conflict_chain("checked", "moods", "row_id")
 
 FLAG_MOODS = f"""
@@ -351,6 +350,41 @@ def matched(base: str, relation: str, tags: str, v: Vocabulary, k: int = 3) -> s
     SELECT row_id, place::INT AS place, target, raw, round(score, 6) AS score FROM x"""
 
 
+_LABELS = [lib.GENRE_LABELS[i % len(lib.GENRE_LABELS)] for i in range(len(lib.LABELS))]
+_AUDIO_GENRES = f"""{RANKED},
+al AS (SELECT key AS row_id, rank, ({array(_LABELS)})[class + 1] AS label FROM ranked WHERE score >= 0.10),
+ap AS (SELECT row_id, list(genre ORDER BY rank) AS genres, list(style ORDER BY rank) AS styles FROM (
+           SELECT row_id, rank, CASE WHEN contains(g, 'Folk') THEN 'Folk' WHEN contains(g, 'Hip Hop') THEN 'Hip-Hop' ELSE g END AS genre, style
+           FROM (SELECT row_id, rank, trim(split_part(label, '---', 1)) AS g, trim(split_part(label, '---', 2)) AS style FROM al)) GROUP BY row_id),
+{matches("ag", "ap", "genres", PRIMARY)}, {matches("ah", "ap", "styles", SUB)}, {names_of("ah", "subs")},
+ak AS (SELECT k.key, ag.target AS first_genre, coalesce(ah_list.subs, []) AS sub_genres,
+              list_transform(list_concat(coalesce(ah_list.subs, []), coalesce(ap.styles, [])), lambda x: lower(x)) AS said
+       FROM (SELECT DISTINCT key FROM ranked) k LEFT JOIN ap ON ap.row_id = k.key LEFT JOIN ag ON ag.row_id = k.key AND ag.place = 0
+       LEFT JOIN ah_list ON ah_list.row_id = k.key),
+heard_genres AS (SELECT key, sub_genres, CASE WHEN len(sub_genres) = 0 THEN first_genre
+                        WHEN list_bool_or(list_transform(said, lambda x: contains(x, 'punk'))) THEN 'Punk'
+                        WHEN list_bool_or(list_transform(said, lambda x: contains(x, 'metal'))) THEN 'Metal' ELSE first_genre END AS genre FROM ak)"""
+
+
+def letters(x: str) -> str:
+    return f"list_transform({array(lib.LetterCounts.letters)}, lambda c: (length(lower({x})) - length(replace(lower({x}), c, '')))::DOUBLE)"
+
+
+_VECTORS = f"""WITH {MOOD_LISTS}, {matches("x", "listed", "moods", MOODS)},
+tv AS (SELECT ord, target, {letters("target || ' music'")} AS v FROM (SELECT unnest({array(MOODS.targets)}) AS target, generate_subscripts({array(MOODS.targets)}, 1) - 1 AS ord)),
+rv AS (SELECT raw, {letters("raw")} AS v FROM (SELECT DISTINCT unnest(moods) AS raw FROM listed)),
+sims AS (SELECT raw, ord, target, round(list_dot_product(rv.v, tv.v) / (greatest(sqrt(list_dot_product(rv.v, rv.v)), 1e-9)
+                * greatest(sqrt(list_dot_product(tv.v, tv.v)), 1e-9)), 6) AS c FROM rv, tv),
+tagged AS (SELECT row_id, unnest(moods) AS raw, generate_subscripts(moods, 1) - 1 AS rank FROM listed),
+near AS (SELECT *, row_number() OVER (PARTITION BY row_id, ord ORDER BY c DESC, rank) AS n FROM tagged JOIN sims USING (raw)),
+far AS (SELECT row_id, ord, target, raw, c * greatest(0.40::DOUBLE, 1.0::DOUBLE - rank * 0.05::DOUBLE) AS score FROM near
+        WHERE n = 1 AND NOT list_contains({array(V.NEEDS_KEYWORD)}, target) AND NOT list_contains({array(V.GENERIC_FOR_VECTORS)}, {norm("raw")})),
+every_hit AS (SELECT row_id, ord, target, raw, score FROM x_hits
+              UNION ALL SELECT * FROM far WHERE score >= 0.8::DOUBLE * 0.80::DOUBLE
+                        AND NOT EXISTS (SELECT 1 FROM x_hits h WHERE h.row_id = far.row_id AND h.ord = far.ord)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, ord) AS n FROM every_hit)
+SELECT row_id, (n - 1)::INT AS place, target, raw, round(score, 6) AS score FROM placed WHERE n <= 3"""
+
 _EMPTY = "[]::VARCHAR[]"
 _PLAIN = f"plain_rows AS (SELECT row_id, artist, album, {SPECIFIC} AS tags FROM track_items)"
 _OLD = "coalesce(existing[{f}], [])"
@@ -373,7 +407,7 @@ def _frames() -> str:
         ext = "('.m4a', '.mp4')" if kind == ".m4a" else f"('{kind}')"
         for field, frames in FRAMES[kind].items():
             for frame in frames:
-                held = "coalesce(existing['genre'], [])" if frame == "TCON" else _EMPTY
+                held = f"coalesce(existing[{text(field)}], [])" if frame == frames[0] else _EMPTY
                 parts.append(
                     f"SELECT write_id, {text(frame)} AS frame, {bar(_FIELDS[field])} AS values FROM tag_writes WHERE {_EXT} IN {ext} "
                     f"AND len({_FIELDS[field]}) > 0 AND (coalesce(overwrite_tags, false) OR len({held}) = 0)"
@@ -431,9 +465,9 @@ ORACLE: dict[str, str] = {
     "catalog_export": f"""SELECT row_id::VARCHAR AS rating_key, title, artist, coalesce(album, '') AS album, coalesce(file_path, '') AS file_path,
         {bar("current_moods")} AS current_moods FROM track_items""",
     "genre_keyword_prefilter": f"WITH {_PLAIN} SELECT row_id, {bar(or_all(GENRE_TAGS, 'tags'))} AS tags FROM plain_rows",
-    "subgenre_generic_filter": f"WITH {DRAWN} SELECT row_id, {bar(or_all(STYLE_TAGS, 'all_tags'))} AS tags FROM library",
-    "mood_tag_gate": f"""WITH {DRAWN}, kept AS ({gated("library", "all_tags", "tags")})
-    SELECT row_id, {bar("tags")} AS tags FROM library LEFT JOIN kept USING (row_id)""",
+    "subgenre_generic_filter": f"WITH {LIBRARY} SELECT row_id, {bar(or_all(STYLE_TAGS, 'all_tags'))} AS tags FROM library",
+    "mood_tag_gate": f"""WITH {LIBRARY}, passed AS ({gated("library", "all_tags", "tags")})
+    SELECT row_id, {bar("tags")} AS tags FROM library LEFT JOIN passed USING (row_id)""",
     "mood_gate_reason_counts": f"""WITH {_PLAIN}, t AS (SELECT artist, album, unnest(tags) AS tag FROM plain_rows)
     SELECT coalesce({reason("tag", "artist", "album")}, 'kept') AS reason, count(*) AS n_tags FROM t GROUP BY 1""",
     "artist_substring_filter": "SELECT row_id, artist FROM track_items WHERE contains(lower(artist), 'orchestra')",
@@ -447,35 +481,56 @@ ORACLE: dict[str, str] = {
         AS present FROM track_items""",
     "unprocessed_tracks": "SELECT row_id, rating_key FROM track_items WHERE rating_key NOT IN (SELECT rating_key FROM processed_tracks)",
     "limited_tracks": "SELECT row_id, title FROM track_items ORDER BY row_id LIMIT 100",
-    "lexical_match_scores": f"""WITH {DRAWN}, {matches("x", "library", "all_tags", SUB)}
+    "lexical_match_scores": f"""WITH {LIBRARY}, {matches("x", "library", "all_tags", SUB)}
     SELECT row_id, target, raw, rank::INT AS rank, round(score, 6) AS score FROM x_hits""",
     "primary_genre_matches": matched(_PLAIN, "plain_rows", "tags", PRIMARY),
-    "subgenre_matches": matched(DRAWN, "library", "all_tags", SUB),
-    "mood_lexical_matches": matched(DRAWN, "library", "all_tags", MOODS),
-    "mood_tag_matches": matched(DRAWN, "library", "all_tags", MOOD_TAGS, 5),
-    "primary_genre_vote": f"WITH {DRAWN}, {GENRE} SELECT row_id, text_genre AS genre FROM library LEFT JOIN g_vote USING (row_id)",
-    "subgenre_fallback": f"WITH {DRAWN}, {GENRE}, {SUBS} SELECT row_id, {bar('sub_genres')} AS sub_genres FROM styled",
-    "genre_elevation": f"WITH {DRAWN}, {GENRE}, {SUBS} SELECT row_id, genre FROM styled",
-    "genre_list": f"""WITH {DRAWN}, {GENRE}, {SUBS}
+    "subgenre_matches": matched(LIBRARY, "library", "all_tags", SUB),
+    "taxonomy_subgenre_matches": matched(DRAWN, "library", "all_tags", SUB),
+    "style_exclusion": matched(DRAWN, "library", "all_tags", Vocabulary(SUB.targets, vectors=False), len(SUB.targets)),
+    "consensus_gate": matched(
+        DRAWN, "library", "all_tags", Vocabulary(tuple(t for t in SUB.targets if t not in EXCLUDING), vectors=False, consensus=True), len(SUB.targets)
+    ),
+    "taxonomy_mood_gate": f"""WITH {DRAWN}, passed AS ({gated("library", "all_tags", "tags")})
+    SELECT row_id, {bar("tags")} AS tags FROM library LEFT JOIN passed USING (row_id)""",
+    "taxonomy_genre_elevation": f"WITH {DRAWN}, {GENRE}, {SUBS} SELECT row_id, genre FROM styled",
+    "taxonomy_primary_mood": f"WITH {mooded(DRAWN)}, {FINAL} SELECT row_id, {bar('moods')} AS moods, moods[1] AS mapped_mood FROM final",
+    "mood_lexical_matches": matched(MOOD_LISTS, "listed", "moods", MOODS),
+    "taxonomy_mood_matches": matched(DRAWN, "library", "all_tags", MOODS),
+    "mood_vector_matches": _VECTORS,
+    "mood_tag_matches": matched(LIBRARY, "library", "all_tags", MOOD_TAGS, 5),
+    "primary_genre_vote": f"WITH {LIBRARY}, {GENRE} SELECT row_id, text_genre AS genre FROM library LEFT JOIN g_vote USING (row_id)",
+    "subgenre_fallback": f"WITH {LIBRARY}, {GENRE}, {SUBS} SELECT row_id, {bar('sub_genres')} AS sub_genres FROM styled",
+    "genre_elevation": f"WITH {LIBRARY}, {GENRE}, {SUBS} SELECT row_id, genre FROM styled",
+    "genre_list": f"""WITH {LIBRARY}, {GENRE}, {SUBS}
     SELECT row_id, {bar("CASE WHEN text_genre IS NULL THEN sub_genres ELSE list_prepend(text_genre, sub_genres) END")} AS genres FROM styled""",
-    "seeded_moods": f"""WITH {DRAWN}, {GENRE}, {SUBS}, f AS (SELECT row_id, {_SEEDED} AS s FROM styled)
+    "seeded_moods": f"""WITH {LIBRARY}, {GENRE}, {SUBS}, f AS (SELECT row_id, {_SEEDED} AS s FROM styled)
     SELECT row_id, {bar(ordered_distinct("s"))} AS moods FROM f""",
-    "text_moods": f"WITH {MOODED} SELECT row_id, {bar('text')} AS moods FROM mooded",
-    "seed_admission": f"WITH {MOODED}, {ADMITTED} SELECT row_id, {bar('kept')} AS moods FROM admitted",
-    "tempo_mood_rules": f"WITH {DRAWN_MOODS} SELECT row_id, {bar(tempo_checked('moods'))} AS moods FROM drawn",
-    "mood_conflicts": f"WITH {DRAWN_MOODS}, {_CHAIN} SELECT row_id, {bar('moods')} AS moods FROM {_LAST}",
-    "mood_priority_order": f"WITH {DRAWN_MOODS} SELECT row_id, {bar(specific_first('moods'))} AS moods FROM drawn",
-    "primary_mood": f"WITH {MOODED}, {FINAL} SELECT row_id, {bar('moods')} AS moods, moods[1] AS mapped_mood FROM final",
+    "text_moods": f"WITH {mooded(LIBRARY)} SELECT row_id, {bar('text')} AS moods FROM mooded",
+    "seed_admission": f"WITH {mooded(LIBRARY)}, {ADMITTED} SELECT row_id, {bar('kept')} AS moods FROM admitted",
+    "tempo_mood_rules": f"WITH {MOOD_LISTS} SELECT row_id, {bar(tempo_checked('moods'))} AS moods FROM listed",
+    "mood_conflicts": f"WITH {MOOD_LISTS}, {_CHAIN} SELECT row_id, {bar('moods')} AS moods FROM {_LAST}",
+    "mood_priority_order": f"WITH {MOOD_LISTS} SELECT row_id, {bar(specific_first('moods'))} AS moods FROM listed",
+    "primary_mood": f"WITH {mooded(LIBRARY)}, {FINAL} SELECT row_id, {bar('moods')} AS moods, moods[1] AS mapped_mood FROM final",
     "audio_mean_pool": f"WITH {MEANS} SELECT key, class::INT AS class, score FROM means",
     "audio_top10": f"WITH {RANKED} SELECT key, rank::INT AS rank, class::INT AS class, score FROM ranked",
     "audio_confidence_gate": f"""WITH {SURE} SELECT key, {bar("list(label ORDER BY rank) FILTER (label IS NOT NULL)")} AS labels
     FROM (SELECT DISTINCT key FROM means) LEFT JOIN sure USING (key) GROUP BY key""",
     "audio_mood_map": f"WITH {SURE} SELECT key, {bar('mapped')} AS moods FROM heard0",
-    "audio_tempo_validation": f"WITH {DRAWN_MOODS} SELECT row_id, {bar(tempo_valid('moods'))} AS moods FROM drawn",
-    "audio_standalone_rule": f"WITH {DRAWN_MOODS} SELECT row_id, {bar(supported('moods'))} AS moods FROM drawn",
+    "audio_tempo_validation": f"WITH {MOOD_LISTS} SELECT row_id, {bar(tempo_valid('moods'))} AS moods FROM listed",
+    "audio_standalone_rule": f"WITH {MOOD_LISTS} SELECT row_id, {bar(supported('moods'))} AS moods FROM listed",
     "audio_matched_score": f"""WITH {SURE}, keys AS (SELECT DISTINCT key FROM means),
     tempi AS (SELECT key, unnest([{", ".join("NULL" if t is None else str(t) for t in TEMPI)}]::INT[]) AS bpm FROM keys), {heard("tempi")}
     SELECT key, bpm, {bar("moods")} AS moods, round(score, 6) AS score, {bar("accepted")} AS accepted FROM heard""",
+    "audio_genre_labels": f"""WITH {_AUDIO_GENRES} SELECT key, genre, {bar("sub_genres")} AS sub_genres FROM heard_genres""",
+    "audio_genre_fallback": f"""WITH {LIBRARY}, {GENRE}, {SUBS}, {_AUDIO_GENRES},
+    b AS (SELECT styled.*, h.genre AS h_genre, CASE WHEN text_genre IS NULL THEN coalesce(h.sub_genres, []) ELSE [] END AS h_subs
+          FROM styled LEFT JOIN heard_genres h ON h.key = row_id % {RECORDINGS})
+    SELECT row_id, CASE WHEN len(h_subs) > 0 THEN h_genre WHEN genre IS NOT NULL THEN genre
+                WHEN h_genre = 'Rock' AND {has("sub_genres", V.PUNK_STYLES)} THEN 'Punk'
+                WHEN h_genre = 'Rock' AND {has("sub_genres", V.METAL_STYLES)} THEN 'Metal' ELSE h_genre END AS genre,
+           {bar("CASE WHEN len(h_subs) > 0 THEN h_subs ELSE sub_genres END")} AS sub_genres FROM b""",
+    "audio_unlabelled_mood": f"""SELECT vec_id, CASE WHEN list_max(embedding[1:{len(MOODS.targets)}]) > 0
+        THEN ({array(MOODS.targets)})[list_position(embedding[1:{len(MOODS.targets)}], list_max(embedding[1:{len(MOODS.targets)}]))] ELSE '' END AS moods FROM embeddings""",
     "bpm_half_even": f"SELECT reading_id, {BPM} AS bpm FROM tempo_readings",
     "cosine_matrix": f"WITH {_CENTRES} SELECT vec_id, target::INT AS target, round(c, 5) AS cosine FROM sims",
     "best_pair_match": f"""WITH {_LISTS}, b AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY c DESC, rank, target) AS n FROM lists)
@@ -490,6 +545,16 @@ ORACLE: dict[str, str] = {
         {", ".join(f"{bar(_merged(new, _OLD.format(f=text(f))))} AS {f}_after" for f, new in _FIELDS.items())},
         (coalesce(file_path, '') <> '' AND {_EXT} IN ('.mp3', '.flac', '.m4a', '.mp4') AND ({_CHANGED})) AS changed, modified FROM tag_writes""",
     "frame_merge": _frames(),
+    "catalog_sync": f"""WITH w AS (SELECT *, try_cast(existing['bpm'][1] AS INT) AS old_bpm, coalesce(existing['genre'], []) AS og,
+            coalesce(existing['mood'], []) AS om, coalesce(overwrite_tags, false) AS o FROM tag_writes),
+    f AS (SELECT *, len(genres) > 0 AND (o OR len(og) = 0) AS wg, len(moods) > 0 AND (o OR len(om) = 0) AS wm FROM w)
+    SELECT write_id, CASE WHEN wg THEN {bar("og")} ELSE '' END AS remove_genres, CASE WHEN wg THEN {bar("genres")} ELSE '' END AS add_genres,
+           CASE WHEN wm THEN {bar("om")} ELSE '' END AS remove_moods, CASE WHEN wm THEN {bar("moods")} ELSE '' END AS add_moods, wm AS lock_moods,
+           CASE WHEN bpm IS NOT NULL AND (o OR old_bpm IS NULL OR old_bpm = 0) THEN bpm END AS bpm FROM f""",
+    "catalog_mood_overwrite": f"""SELECT write_id, CASE WHEN len(moods) > 0 THEN {bar("coalesce(existing['mood'], [])")} ELSE '' END AS removed,
+           coalesce(moods[1], '') AS added, coalesce(moods[1] IS NOT NULL, false) AS lock_moods FROM tag_writes""",
+    "file_sink_gates": f"""WITH w AS (SELECT write_id, {_EXT} AS ext, coalesce(file_path <> '' AND modified, false) AS there FROM tag_writes)
+    SELECT write_id, there AND ext IN ('.mp3', '.flac', '.m4a', '.mp4') AS written, there AS in_dry_run, false AS when_disabled FROM w""",
     "catalog_merge": f"""WITH w AS (SELECT *, try_cast(existing['bpm'][1] AS INT) AS old FROM tag_writes)
     SELECT write_id, CASE WHEN bpm IS NOT NULL AND (coalesce(overwrite_tags, false) OR old IS NULL OR old = 0) THEN bpm ELSE old END AS bpm,
            {bar(_merged("moods", _OLD.format(f="'mood'")))} AS moods FROM w""",

@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cantera.functions.text import bound, normalised, or_empty, strings, url_encoded
-from cantera.operators import audio, gates, genre, matcher, merge, moods, state
+from cantera.operators import audio, embedding, gates, genre, matcher, merge, moods, sinks, state
+from cantera.operators.text_pass import with_text
 from cantera.plans import enrich as plan
 from cantera.plans import library as lib
 from cantera.session import table
 from cantera.sources import catalog, payloads
 
+#: Tracks take the predictions of so many recordings in turn.
+RECORDINGS = 50
+#: Styles that exclude another.
+EXCLUDING = {style for pair in matcher.SUB.exclusive for style in pair}
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -154,13 +160,22 @@ def genre_keyword_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def subgenre_generic_filter(spark: SparkSession, d: str) -> DataFrame:
-    return lib.drawn_library(spark, d).select("row_id", joined(gates.style_tags(F.col("all_tags"))).alias("tags"))
+    return lib.library(spark, d).select("row_id", joined(gates.style_tags(F.col("all_tags"))).alias("tags"))
+
+
+def _gated(rows: DataFrame) -> DataFrame:
+    kept = with_text(rows.select("row_id", "artist", "album", "all_tags"), "all_tags", gate="tags")
+    return kept.select("row_id", joined("tags").alias("tags"))
 
 
 @query
 def mood_tag_gate(spark: SparkSession, d: str) -> DataFrame:
-    kept = gates.mood_tags(F.col("all_tags"), F.col("artist"), F.col("album"))
-    return lib.drawn_library(spark, d).select("row_id", joined(kept).alias("tags"))
+    return _gated(lib.library(spark, d))
+
+
+@query
+def taxonomy_mood_gate(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(lib.drawn_library(spark, d))
 
 
 @query
@@ -223,7 +238,7 @@ def _exploded(rows: DataFrame, tags: str, vocabulary: matcher.Vocabulary, k: int
 
 @query
 def lexical_match_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = lib.drawn_library(spark, d)
+    rows = lib.library(spark, d)
     hits = rows.select("row_id", F.explode(matcher.lexical_hits(F.col("all_tags"), matcher.SUB)).alias("h"))
     return hits.select("row_id", "h.target", "h.raw", "h.rank", F.round("h.score", 6).alias("score"))
 
@@ -235,27 +250,62 @@ def primary_genre_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def subgenre_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _exploded(lib.library(spark, d), "all_tags", matcher.SUB)
+
+
+@query
+def taxonomy_subgenre_matches(spark: SparkSession, d: str) -> DataFrame:
     return _exploded(lib.drawn_library(spark, d), "all_tags", matcher.SUB)
 
 
+@query
+def style_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    """Matches left after the better of two excluding styles has been kept."""
+    plain = matcher.Vocabulary(matcher.SUB.targets, vectors=False)
+    return _exploded(lib.drawn_library(spark, d), "all_tags", plain, k=len(matcher.SUB.targets))
+
+
+@query
+def consensus_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Matches kept to those of the first three tags, where these have any."""
+    apart = matcher.Vocabulary(tuple(t for t in matcher.SUB.targets if t not in EXCLUDING), vectors=False, consensus=True)
+    return _exploded(lib.drawn_library(spark, d), "all_tags", apart, k=len(apart.targets))
+
+
 @query
 def mood_lexical_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _exploded(_mood_lists(spark, d), "moods", matcher.MOODS)
+
+
+@query
+def taxonomy_mood_matches(spark: SparkSession, d: str) -> DataFrame:
     return _exploded(lib.drawn_library(spark, d), "all_tags", matcher.MOODS)
 
 
+@query
+def mood_vector_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Moods named by letters or reached by vectors, those of a small embedder."""
+    rows = _mood_lists(spark, d).select("row_id", "moods")
+    rows = embedding.with_similarity(rows, "moods", matcher.MOODS, lib.LetterCounts, digits=6)
+    found = matcher.match_tags(F.col("moods"), matcher.MOODS, k=3, similarity=F.col("similarity"), threshold=0.8)
+    out = rows.select("row_id", F.posexplode(found).alias("place", "m"))
+    return out.select("row_id", "place", "m.target", "m.raw", F.round("m.score", 6).alias("score"))
+
+
 @query
 def mood_tag_matches(spark: SparkSession, d: str) -> DataFrame:
-    return _exploded(lib.drawn_library(spark, d), "all_tags", matcher.MOOD_TAGS, k=5)
+    return _exploded(lib.library(spark, d), "all_tags", matcher.MOOD_TAGS, k=5)
 
 
 @query
 def primary_genre_vote(spark: SparkSession, d: str) -> DataFrame:
-    return genre.with_primary_genre(lib.drawn_library(spark, d), "all_tags").select("row_id", "genre")
+    return with_text(lib.library(spark, d).select("row_id", "all_tags"), every="all_tags", genre="genre").select("row_id", "genre")
 
 
-def _styled(spark: SparkSession, d: str) -> DataFrame:
-    rows = lib.drawn_library(spark, d).join(lib.latest_tempo(spark, d), "rating_key", "left")
-    rows = genre.with_sub_genres(genre.with_primary_genre(rows, "all_tags"), "specific_tags", "all_tags")
+def _styled(spark: SparkSession, d: str, drawn: bool = False) -> DataFrame:
+    rows = lib.drawn_library(spark, d) if drawn else lib.library(spark, d)
+    rows = rows.select("row_id", "artist", "album", "specific_tags", "all_tags", "raw_bpm")
+    rows = with_text(rows, "specific_tags", "all_tags", genre="genre", styles="sub_genres")
     return rows.withColumn("bpm", audio.whole_bpm(F.col("raw_bpm")))
 
 
@@ -269,6 +319,11 @@ def genre_elevation(spark: SparkSession, d: str) -> DataFrame:
     return _styled(spark, d).select("row_id", genre.elevated(F.col("genre"), F.col("sub_genres")).alias("genre"))
 
 
+@query
+def taxonomy_genre_elevation(spark: SparkSession, d: str) -> DataFrame:
+    return _styled(spark, d, drawn=True).select("row_id", genre.elevated(F.col("genre"), F.col("sub_genres")).alias("genre"))
+
+
 @query
 def genre_list(spark: SparkSession, d: str) -> DataFrame:
     return _styled(spark, d).select("row_id", joined(genre.genre_list(F.col("genre"), F.col("sub_genres"))).alias("genres"))
@@ -282,11 +337,11 @@ def seeded_moods(spark: SparkSession, d: str) -> DataFrame:
     return _styled(spark, d).select("row_id", joined(moods.seeded_moods(F.col("sub_genres"))).alias("moods"))
 
 
-def _mooded(spark: SparkSession, d: str) -> DataFrame:
-    """Styled rows with text moods and the predictions of one of ten recordings."""
+def _mooded(spark: SparkSession, d: str, drawn: bool = False) -> DataFrame:
+    """Styled rows with text moods and the predictions of one of the first recordings."""
     tops = lib.recordings(spark, d).select("key", "top", audio.audio_moods(F.col("top"), F.lit(None).cast("int")).alias("heard"))
-    rows = _styled(spark, d).withColumn("key", (F.col("row_id") % 10).cast("int"))
-    rows = rows.join(F.broadcast(tops), "key", "left")  # one row for each of the ten labels
+    rows = _styled(spark, d, drawn).withColumn("key", (F.col("row_id") % RECORDINGS).cast("int"))
+    rows = rows.join(tops, "key", "left")
     rows = moods.with_text_moods(rows, "specific_tags", "text")
     audible = F.when(F.col("row_id") % 3 != 0, F.col("heard.accepted"))
     return rows.withColumn("audio", or_empty(audible))
@@ -304,45 +359,45 @@ def seed_admission(spark: SparkSession, d: str) -> DataFrame:
     return _mooded(spark, d).select("row_id", joined(kept).alias("moods"))
 
 
-def _drawn_moods(spark: SparkSession, d: str) -> DataFrame:
-    """Lists of mood names in either case, drawn from the tags, with the last tempo."""
-    names = strings([*V_MOODS, *(m.lower() for m in V_MOODS)])
-    tags = F.array_compact(or_empty(F.col("raw_tags")))
-    drawn = F.transform(tags, lambda t, i: F.get(names, ((F.length(t) * 13 + i * 5 + F.col("row_id")) % (2 * len(V_MOODS))).cast("int")))
-    rows = tags_of(spark, d, "rating_key").withColumn("moods", F.array_distinct(drawn))
+def _mood_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The moods and tags stored with each track as one list, with the last tempo."""
+    names = F.array_distinct(F.array_compact(F.concat(or_empty(F.col("current_moods")), or_empty(F.col("raw_tags")))))
+    rows = tags_of(spark, d, "rating_key", "current_moods").withColumn("moods", names)
     rows = rows.join(lib.latest_tempo(spark, d), "rating_key", "left")
     return rows.select("row_id", "moods", audio.whole_bpm(F.col("raw_bpm")).alias("bpm"))
 
 
-V_MOODS = (
-    "Energetic", "Lively", "Heavy", "Calm", "Happy", "Dark", "Romantic", "Acoustic", "Melancholic", "Chill Hang",
-    "Groovy", "Rowdy", "Party",
-)
-
-
 @query
 def tempo_mood_rules(spark: SparkSession, d: str) -> DataFrame:
-    return _drawn_moods(spark, d).select("row_id", joined(moods.tempo_checked(F.col("moods"), F.col("bpm"))).alias("moods"))
+    return _mood_lists(spark, d).select("row_id", joined(moods.tempo_checked(F.col("moods"), F.col("bpm"))).alias("moods"))
 
 
 @query
 def mood_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return _drawn_moods(spark, d).select("row_id", joined(moods.without_conflicts(F.col("moods"))).alias("moods"))
+    return _mood_lists(spark, d).select("row_id", joined(moods.without_conflicts(F.col("moods"))).alias("moods"))
 
 
 @query
 def mood_priority_order(spark: SparkSession, d: str) -> DataFrame:
-    return _drawn_moods(spark, d).select("row_id", joined(moods.specific_first(F.col("moods"))).alias("moods"))
+    return _mood_lists(spark, d).select("row_id", joined(moods.specific_first(F.col("moods"))).alias("moods"))
 
 
-@query
-def primary_mood(spark: SparkSession, d: str) -> DataFrame:
-    rows = _mooded(spark, d)
+def _final(rows: DataFrame) -> DataFrame:
     final = moods.final_moods(F.col("text"), F.col("sub_genres"), F.col("audio"), F.col("bpm"), F.col("top"))
     rows = rows.select("row_id", final.alias("moods"))
     return rows.select("row_id", joined("moods").alias("moods"), moods.primary_mood(F.col("moods")).alias("mapped_mood"))
 
 
+@query
+def primary_mood(spark: SparkSession, d: str) -> DataFrame:
+    return _final(_mooded(spark, d))
+
+
+@query
+def taxonomy_primary_mood(spark: SparkSession, d: str) -> DataFrame:
+    return _final(_mooded(spark, d, drawn=True))
+
+
 # Audio
 
 
@@ -379,13 +434,13 @@ def audio_mood_map(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audio_tempo_validation(spark: SparkSession, d: str) -> DataFrame:
-    rows = _drawn_moods(spark, d)
+    rows = _mood_lists(spark, d)
     return rows.select("row_id", joined(audio.tempo_valid(F.col("moods"), F.col("bpm"))).alias("moods"))
 
 
 @query
 def audio_standalone_rule(spark: SparkSession, d: str) -> DataFrame:
-    rows = _drawn_moods(spark, d)
+    rows = _mood_lists(spark, d)
     return rows.select("row_id", joined(audio.supported(F.col("moods"), F.col("bpm"))).alias("moods"))
 
 
@@ -397,12 +452,25 @@ def audio_matched_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audio_genre_labels(spark: SparkSession, d: str) -> DataFrame:
-    labels = [lib.GENRE_LABELS[i % len(lib.GENRE_LABELS)] for i in range(len(lib.LABELS))]
-    ranked = audio.top_classes(lib.predictions(spark, d), "key")
-    rows = audio.top_labels(ranked, "key", labels).withColumn("r", audio.audio_genres(F.col("top")))
+    rows = lib.genre_recordings(spark, d).withColumn("r", audio.audio_genres(F.col("genre_top")))
     return rows.select("key", F.col("r.genre").alias("genre"), joined("r.sub_genres").alias("sub_genres"))
 
 
+@query
+def audio_genre_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Genre and styles with audio predictions to fall back on where the tags name no genre."""
+    rows = _tagged(spark, d).withColumn("key", (F.col("row_id") % RECORDINGS).cast("int"))
+    rows = rows.join(lib.genre_recordings(spark, d), "key", "left")
+    out = plan.enrich(rows, plan.Features(mood=False, bpm=False), genre_top="genre_top")
+    return out.select("row_id", "genre", joined("sub_genres").alias("sub_genres"))
+
+
+@query
+def audio_unlabelled_mood(spark: SparkSession, d: str) -> DataFrame:
+    scores = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", joined(audio.unlabelled_mood(scores)).alias("moods"))
+
+
 @query
 def bpm_half_even(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tempo_readings").select("reading_id", audio.whole_bpm(F.col("raw_bpm")).alias("bpm"))
@@ -468,14 +536,41 @@ def write_if_empty(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def frame_merge(spark: SparkSession, d: str) -> DataFrame:
-    """What is written to which frame, when files hold nothing but their genre."""
-    held = F.map_filter(F.coalesce("existing", F.create_map().cast("map<string,array<string>>")), lambda k, v: k == "genre")
-    frames = F.transform_keys(held, lambda k, v: F.lit("TCON"))
-    writes = merge.frame_writes(F.col("file_path"), frames, F.col("genres"), F.col("moods"), F.col("bpm"), F.col("overwrite_tags"))
+    """What is written to which frame, when files hold their fields in the frames of their kind."""
+    writes = merge.frame_writes(
+        F.col("file_path"), merge.held_frames(F.col("file_path"), F.col("existing")), F.col("genres"), F.col("moods"), F.col("bpm"), F.col("overwrite_tags")
+    )
     out = table(spark, d, "tag_writes").select("write_id", F.explode(writes).alias("w"))
     return out.select("write_id", "w.frame", joined("w.values").alias("values"))
 
 
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    old = {f"old_{f}": F.try_element_at("existing", F.lit(f)) for f in ("genre", "mood")}
+    bpm = F.try_element_at(F.try_element_at("existing", F.lit("bpm")), F.lit(1)).try_cast("int")
+    return table(spark, d, "tag_writes").withColumns({**old, "old_bpm": bpm})
+
+
+@query
+def catalog_sync(spark: SparkSession, d: str) -> DataFrame:
+    names = ("old_genre", "genres", "old_mood", "moods", "old_bpm", "bpm", "overwrite_tags")
+    edits = _held(spark, d).select("write_id", sinks.catalog_edits(*map(F.col, names)).alias("e")).select("write_id", "e.*")
+    return edits.withColumns({c: joined(c) for c, kind in edits.dtypes if kind.startswith("array")})
+
+
+@query
+def catalog_mood_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    edits = _held(spark, d).select("write_id", sinks.single_mood(F.get("moods", F.lit(0)), F.col("old_mood")).alias("e"))
+    return edits.select("write_id", joined("e.remove_moods").alias("removed"), joined("e.add_moods").alias("added"), "e.lock_moods")
+
+
+@query
+def file_sink_gates(spark: SparkSession, d: str) -> DataFrame:
+    exists = F.col("file_path").isNotNull() & F.col("modified")
+    done = {name: sinks.file_accepts(F.col("file_path"), exists, **how) for name, how in
+            {"written": {}, "in_dry_run": {"dry_run": True}, "when_disabled": {"enabled": False}}.items()}
+    return table(spark, d, "tag_writes").select("write_id", *[v.alias(k) for k, v in done.items()])
+
+
 @query
 def catalog_merge(spark: SparkSession, d: str) -> DataFrame:
     """Tempo written to the catalogue where it has none or 0, moods where it has none."""
