@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from pathlib import Path
 from typing import Any
@@ -133,3 +134,42 @@ def masked(token: str) -> str:
 
 def as_dict(settings: Settings) -> dict:
     return asdict(settings)
+
+
+#: Asked for by the wizard: what it says, where the answer goes, and whether it is secret.
+QUESTIONS = (
+    ("Catalogue of tracks (path)", "catalog", "path", False),
+    ("Name of the music library", "catalog", "library_name", False),
+    ("Key of the tag service", "tags", "api_key", True),
+    ("Tracks a batch", "processing", "batch_size", False),
+    ("Least similarity of a tag and a mood", "mapping", "threshold", False),
+    ("Folder of the music as the catalogue names it", "processing", "path_map_source", False),
+    ("The same folder on this machine", "processing", "path_map_target", False),
+    ("Moods, separated by commas", "mapping", "target_moods", False),
+)
+
+
+def wizard(path: str, ask: Callable[[str], str] = input) -> dict[str, dict]:
+    """Asks for the main settings, an empty answer keeping what is there, and saves them.
+
+    Secrets are shown masked. Numbers that are none are asked for again.
+    """
+    settings, answers = load(path, {}), {}
+    for question, section, key, secret in QUESTIONS:
+        now = getattr(getattr(settings, section), key)
+        shown = ", ".join(now) if isinstance(now, tuple) else masked(now) if secret and now else str(now)
+        while True:
+            answer = ask(f"{question} [{shown}]: ").strip()
+            try:
+                if not answer or answer == shown:
+                    value = list(now) if isinstance(now, tuple) else now
+                elif isinstance(now, tuple):
+                    value = [m.strip() for m in answer.split(",") if m.strip()] or list(now)
+                else:
+                    value = type(now)(answer)
+                break
+            except ValueError:
+                continue
+        answers.setdefault(section, {})[key] = value
+    save(answers, path)
+    return answers

@@ -110,3 +110,19 @@ def looked_up(tracks: DataFrame, source: DataFrame, on: dict[str, str], into: st
     keyed = source.groupBy(*[normalised(F.col(k)).alias(n) for n, k in zip(names, on.values())]).agg(F.min("tags").alias(into))
     left = tracks.withColumns({n: normalised(F.col(c)) for n, c in zip(names, on)})
     return left.join(keyed, names, "left").drop(*names)
+
+
+#: Kinds of a table of tag sources: what their rows are looked up by.
+KINDS = {"track": ("artist", "title"), "album": ("artist", "album"), "artist": ("artist",), "recording": ("artist", "title"), "release": ("artist", "title")}
+
+
+def with_sources(tracks: DataFrame, sources: DataFrame, kinds: list[str]) -> DataFrame:
+    """``tracks`` with the columns ``<kind>_tags`` for each wanted kind, null where nothing is known.
+
+    ``sources`` is (kind, artist, name, tags): the name is the title or album, and
+    makes no difference for artists.
+    """
+    for kind in kinds:
+        own = sources.where(F.lower("kind") == kind).select("artist", F.col("name").alias(KINDS[kind][-1]) if len(KINDS[kind]) > 1 else F.lit(1), "tags")
+        tracks = looked_up(tracks, own, {k: k for k in KINDS[kind]}, f"{kind}_tags")
+    return tracks

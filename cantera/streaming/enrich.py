@@ -32,7 +32,7 @@ def upsert_into(store: state.StateStore, overwrite: bool = False, **options) ->
     def save(batch: DataFrame, _: int) -> None:
         fresh = gates.unprocessed(batch, store.read(), overwrite)
         fresh = state.last_by_key(fresh.select("rating_key", "title", "artist", "album", "specific_tags", "all_tags", "raw_bpm", "scanned_at"),
-                                  "rating_key", ["scanned_at", "title"])
+                                  "rating_key", ["scanned_at", "title", "artist", "album", "raw_bpm"])
         store.save(plan.results(plan.enrich(fresh, **options), F.coalesce("scanned_at", F.lit("1970-01-01").cast("timestamp_ntz"))))
 
     return save
