@@ -95,3 +95,22 @@ def with_similarity(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*columns, into])
 
     return df.mapInArrow(run, schema)
+
+
+def cosines(df: DataFrame, key: str, vector: str, targets: list[list[float]]) -> DataFrame:
+    """(key, target, cosine) of each vector and each of a few target vectors, by one matrix
+    product for each batch. Vectors must be as long as the targets; a null one has no rows."""
+    columns = unit(np.array(targets)).T
+    schema = T.StructType([df.schema[key], T.StructField("target", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            flat = pc.list_flatten(batch.column(1)).to_numpy(zero_copy_only=False)
+            sims = unit(flat.reshape(batch.num_rows, columns.shape[0])) @ columns
+            n, k = sims.shape
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(n), k)))
+            places = pa.array(np.tile(np.arange(k, dtype=np.int32), n))
+            yield pa.RecordBatch.from_arrays([keys, places, pa.array(sims.ravel())], names=[key, "target", "cosine"])
+
+    return df.select(key, vector).mapInArrow(run, schema)

@@ -424,8 +424,8 @@ widths AS (SELECT label, greatest(sqrt(sum(s * s)), 1e-9) AS b FROM sums GROUP B
 dots AS (SELECT vec_id, s.label, sum(x * s) AS d FROM cells c JOIN sums s USING (dim) GROUP BY vec_id, s.label),
 sims AS (SELECT vec_id, target, d / (a * b) AS c FROM dots JOIN lengths USING (vec_id) JOIN widths USING (label) JOIN order_of USING (label))"""
 _LISTS = f"""{_CENTRES},
-lists AS (SELECT (vec_id % 97)::INT AS grp, vec_id, target, round(c, 6) AS c,
-                 dense_rank() OVER (PARTITION BY vec_id % 97 ORDER BY vec_id) - 1 AS rank FROM sims)"""
+lists AS (SELECT (vec_id // 8)::INT AS grp, vec_id, target, round(c, 6) AS c,
+                 dense_rank() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS rank FROM sims)"""
 
 ORACLE: dict[str, str] = {
     "flagship_enrich": f"""{FLAGSHIP}

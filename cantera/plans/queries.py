@@ -490,17 +490,17 @@ def _centres(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cosine_matrix(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding").crossJoin(F.broadcast(_centres(spark, d)))  # one row
-    sims = F.transform("centres", lambda c: matcher.cosine(F.col("embedding"), c))
-    return rows.select("vec_id", F.posexplode(sims).alias("target", "cosine")).withColumn("cosine", F.round("cosine", 5))
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    centres = [c[0] for c in _centres(spark, d).select(F.explode("centres")).collect()]  # one vector for each label
+    return embedding.cosines(rows, "vec_id", "embedding", centres).withColumn("cosine", F.round("cosine", 5))
 
 
 TARGETS = tuple(f"target {i}" for i in range(10))
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered lists of vectors, as if they were tags, with their cosines to the ten centres."""
-    rows = table(spark, d, "embeddings").withColumn("grp", (F.col("vec_id") % 97).cast("int"))
+    """Ordered lists of eight vectors, as if they were tags, with their cosines to the centres."""
+    rows = table(spark, d, "embeddings").withColumn("grp", F.floor(F.col("vec_id") / 8).cast("int"))
     lists = rows.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
     lists = lists.crossJoin(F.broadcast(_centres(spark, d)))  # one row
     tags = F.transform("t", lambda x: F.concat(F.lit("tag "), x["vec_id"].cast("string")))

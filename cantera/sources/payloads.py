@@ -40,29 +40,34 @@ def recording_tags(body: Column, artist: Column) -> Column:
     order recording, artists, release groups. Text that is no such JSON has none."""
     credit_type = f"struct<name:string,artist:struct<name:string,tags:{_NAMED},genres:{_NAMED}>>".replace(": ", ":")
 
-    def credits(r: Column) -> Column:
-        return or_empty(r["artist-credit"], credit_type)
+    def with_credits(r: Column) -> Column:
+        return F.struct(r.alias("r"), or_empty(r["artist-credit"], credit_type).alias("credits"))
 
-    def credited(r: Column) -> Column:
-        joined = F.array_join(F.transform(credits(r), lambda c: F.coalesce(c["name"], F.lit(""))), "")
-        first = F.coalesce(F.get(credits(r), F.lit(0))["artist"]["name"], F.lit(""))
-        return F.when(joined != "", joined).otherwise(first)
+    def credited(x: Column) -> Column:
+        joined = F.array_join(F.transform(x["credits"], lambda c: F.coalesce(c["name"], F.lit(""))), "")
+        first = F.coalesce(F.get(x["credits"], F.lit(0))["artist"]["name"], F.lit(""))
+        return bound(joined, lambda j: F.when(j != "", j).otherwise(first))
 
-    def tags(r: Column) -> Column:
+    def tags(x: Column) -> Column:
+        r = x["r"]
         artists = F.flatten(
-            F.transform(credits(r), lambda c: F.concat(_names(c["artist"]["tags"]), _names(c["artist"]["genres"])))
+            F.transform(x["credits"], lambda c: F.concat(_names(c["artist"]["tags"]), _names(c["artist"]["genres"])))
         )
         groups = F.flatten(
             F.transform(
                 or_empty(r["releases"], f"struct<`release-group`:struct<tags:{_NAMED},genres:{_NAMED}>>".replace(": ", ":")),
-                lambda x: F.concat(_names(x["release-group"]["tags"]), _names(x["release-group"]["genres"])),
+                lambda g: F.concat(_names(g["release-group"]["tags"]), _names(g["release-group"]["genres"])),
             )
         )
         return F.array_distinct(F.concat(_names(r["tags"]), _names(r["genres"]), artists, groups))
 
-    parsed = F.from_json(body, RECORDINGS)
-    fits = F.filter(parsed["recordings"], lambda r: (F.size(credits(r)) == 0) | same_artist(artist, credited(r)))
-    return or_empty(bound(F.get(fits, F.lit(0)), lambda r: F.when(r.isNotNull(), tags(r))))
+    def fits(x: Column) -> Column:
+        return (F.size(x["credits"]) == 0) | bound(credited(x), lambda c: same_artist(artist, c))
+
+    def told(recordings: Column) -> Column:
+        return bound(F.get(F.filter(F.transform(recordings, with_credits), fits), F.lit(0)), lambda x: F.when(x.isNotNull(), tags(x)))
+
+    return or_empty(bound(F.from_json(body, RECORDINGS)["recordings"], told))
 
 
 def release_tags(body: Column) -> Column:
