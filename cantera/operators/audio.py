@@ -7,7 +7,7 @@ function from a batch of file contents to frames of scores.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Protocol
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantera.functions.text import bound, constant, one_of, or_empty, strings
-from cantera.operators.matcher import MOODS, PRIMARY, SUB, Vocabulary, match_tags, targets_of
+from cantera.operators.matcher import MOODS, PRIMARY, SUB, Vocabulary, lookup, match_tags, targets_of
 from cantera.plans import vocab as V
 
 TOP = "array<struct<label:string,score:double>>"
@@ -176,12 +176,15 @@ def confident(top: Column, targets: tuple[str, ...] = MOODS.targets) -> Column:
     )
 
 
-def label_moods(predictions: Column, vocabulary: Vocabulary = MOODS) -> Column:
-    """Moods of predictions in their order, each once; labels without an entry are matched as tags."""
+def label_moods(predictions: Column, vocabulary: Vocabulary = MOODS, labels: Sequence[str] = ()) -> Column:
+    """Moods of predictions in their order, each once; labels without an entry are matched as
+    tags: the model's ``labels`` when the plan is made, others row by row."""
+    known = {x: [target for target, *_ in lookup(vocabulary).match([x], 3)] for x in labels if x.lower() not in V.AUDIO_LABEL_MOODS}
 
     def moods(p: Column) -> Column:
         return F.coalesce(
             F.when(mapped_label(p["label"]).isNotNull(), F.array(mapped_label(p["label"]))),
+            *([F.try_element_at(constant(known, "map<string,array<string>>"), p["label"])] if known else []),
             targets_of(match_tags(F.array(p["label"]), vocabulary)),
         )
 
@@ -221,15 +224,16 @@ def matched_score(predictions: Column, moods: Column, best: Column) -> Column:
     return F.when((score == 0.0) & (F.size(moods) > 0), best).otherwise(score)
 
 
-def audio_moods(top: Column, bpm: Column, vocabulary: Vocabulary = MOODS, least: float = 0.1) -> Column:
-    """STRUCT<moods, score, accepted>: moods of a track's top predictions.
+def audio_moods(top: Column, bpm: Column, vocabulary: Vocabulary = MOODS, least: float = 0.1, labels: Sequence[str] = ()) -> Column:
+    """STRUCT<moods, score, accepted>: moods of a track's top predictions; ``labels`` are those
+    of the model, where they are known.
 
     ``accepted`` are the moods if their score reaches ``least``, else none. If no mood
     is left, wanted moods named inside a label are told, with the score found so far.
     """
 
     def settle(c: Column, t: Column) -> Column:
-        found = bound(label_moods(c, vocabulary), lambda m: bound(tempo_valid(m, bpm), lambda v: supported(v, bpm)))
+        found = bound(label_moods(c, vocabulary, labels), lambda m: bound(tempo_valid(m, bpm), lambda v: supported(v, bpm)))
 
         def told(m: Column) -> Column:
             best = F.coalesce(F.array_max(F.transform(t, lambda p: p["score"])), F.lit(0.0))

@@ -6,7 +6,7 @@ joined, nothing is shuffled any more.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,12 +48,13 @@ def enrich(
     embedder: Callable[[], Embedder] | None = None,
     threshold: float = 0.45,
     audio_threshold: float = 0.1,
+    audio_labels: Sequence[str] = (),
 ) -> DataFrame:
     """Adds genre, sub_genres, genres, bpm, moods, mapped_mood and confidence.
 
     ``specific`` are the tags of the track itself, ``every`` those of all sources. The
     optional columns ``mood_top`` and ``genre_top`` hold audio predictions, whose moods count
-    from ``audio_threshold`` on. With an ``embedder`` moods are also reached by the
+    from ``audio_threshold`` on (``audio_labels``: the labels of the mood model, if known). With an ``embedder`` moods are also reached by the
     cosines of its vectors from ``threshold`` on; the column ``similarity`` may hold the
     cosines of mood targets to the gated tags instead. Audio styles, taken
     where no genre was found, leave text styles and the elevation of Rock out.
@@ -88,7 +89,7 @@ def enrich(
                 out = with_similarity(out, "_gated", vocabulary, embedder, "_cosines")
             cosines = F.col(similarity or "_cosines")
             out = out.withColumn("_text", targets_of(match_tags(F.col("_gated"), vocabulary, similarity=cosines, threshold=threshold)))
-        heard_moods = audio.audio_moods(F.col("_top"), F.col("bpm"), vocabulary, audio_threshold)["accepted"] if mood_top else nothing
+        heard_moods = audio.audio_moods(F.col("_top"), F.col("bpm"), vocabulary, audio_threshold, audio_labels)["accepted"] if mood_top else nothing
         out = out.withColumn("_heard_moods", heard_moods)
         final: Column = moods.final_moods(
             F.col("_text"), F.col("sub_genres"), F.col("_heard_moods"), F.col("bpm"), F.col("_top")

@@ -339,7 +339,7 @@ def seeded_moods(spark: SparkSession, d: str) -> DataFrame:
 
 def _mooded(spark: SparkSession, d: str, drawn: bool = False) -> DataFrame:
     """Styled rows with text moods and the predictions of one of the first recordings."""
-    tops = lib.recordings(spark, d).select("key", "top", audio.audio_moods(F.col("top"), F.lit(None).cast("int")).alias("heard"))
+    tops = lib.recordings(spark, d).select("key", "top", audio.audio_moods(F.col("top"), F.lit(None).cast("int"), labels=lib.LABELS).alias("heard"))
     rows = _styled(spark, d, drawn).withColumn("key", (F.col("row_id") % RECORDINGS).cast("int"))
     rows = rows.join(tops, "key", "left")
     rows = moods.with_text_moods(rows, "specific_tags", "text")
@@ -446,7 +446,7 @@ def audio_standalone_rule(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def audio_matched_score(spark: SparkSession, d: str) -> DataFrame:
-    rows = _heard(spark, d).withColumn("r", audio.audio_moods(F.col("top"), F.col("bpm")))
+    rows = _heard(spark, d).withColumn("r", audio.audio_moods(F.col("top"), F.col("bpm"), labels=lib.LABELS))
     return rows.select("key", "bpm", joined("r.moods").alias("moods"), F.round("r.score", 6).alias("score"), joined("r.accepted").alias("accepted"))
 
 
