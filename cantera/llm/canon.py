@@ -174,7 +174,7 @@ def map_values(values: DataFrame, entries: DataFrame, max_broadcast_segments: in
     entries = entries.select("entry_id", "kind", "label")
     values = values.select("field", "value").where("value is not null").distinct()
     parts = spark.sql(PARTS_SQL, entries=entries)
-    forms = spark.sql(FORMS_SQL, parts=parts, short=spark.sql(SHORT_SQL, parts=parts))
+    forms = written(spark.sql(FORMS_SQL, parts=parts, short=spark.sql(SHORT_SQL, parts=parts)), "forms")
     segments = spark.sql(SEGMENTS_SQL, forms=forms)
     layout = spark.sql(LAYOUT_SQL, segments=segments)
     size = segments.agg(F.count(F.lit(1)).alias("n"), F.max("len").alias("longest")).first()
