@@ -64,7 +64,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     frames = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).cast("int").alias("key"), scores.alias("scores"))
     means = audio.pooled(frames, "key", "scores")
     spread = (F.col("class") % 10 + 1) / F.lit(10.0)
-    return means.select("key", "class", F.round(F.col("score") / 1e6 * spread, 6).alias("score"))
+    return means.select("key", "class", F.round(F.col("score") / 1e6 * spread, 10).alias("score"))
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:

@@ -206,7 +206,7 @@ _TOP = """SELECT key, list({label: label, score: score} ORDER BY rank) AS top FR
 MEANS = """
 cells AS (SELECT (vec_id // 8)::INT AS key, generate_subscripts(embedding, 1) - 1 AS class,
                  round(abs(unnest(embedding)::DOUBLE) * 1e6)::BIGINT AS x FROM embeddings),
-means AS (SELECT key, class, round(avg(x) / 1e6 * ((class % 10 + 1) / 10.0::DOUBLE), 6) AS score FROM cells GROUP BY key, class)"""
+means AS (SELECT key, class, round(avg(x) / 1e6 * ((class % 10 + 1) / 10.0::DOUBLE), 10) AS score FROM cells GROUP BY key, class)"""
 RANKED = f"""{MEANS},
 ranked AS (SELECT key, rank, class, score, ({array(lib.LABELS)})[class + 1] AS label FROM (
     SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, class DESC) AS rank FROM means) WHERE rank <= 10),
