@@ -11,7 +11,8 @@ for the sums before it: no source and no mix is ever summed up in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,42 +25,53 @@ from pyspark.sql import types as T
 from cantera.session import checkpoint
 
 
-def count_tokens(docs: DataFrame, text: str, tokenizer: str, into: str = "n_tokens") -> DataFrame:
+#: How text is split before the merges of a rank file: the public pattern of byte-level vocabularies.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def count_tokens(docs: DataFrame, text: str, tokenizer: str, into: str = "n_tokens", split: str = SPLIT) -> DataFrame:
     """``docs`` without its text, with the number of tokens of the whole text.
 
-    ``tokenizer`` is the path of a tokenizer file that every executor can read. Null
-    and empty texts have no tokens; strings of special tokens count as ordinary text. A
+    ``tokenizer`` is the path of a tokenizer file that every executor can read: a rank file
+    (``.tiktoken``), whose text is first cut by ``split``, or a JSON file. Null and empty texts have no tokens; strings of special tokens count as ordinary text. A
     column of the new column's name is replaced.
     """
     kept = [c for c in docs.columns if c not in (text, into)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(into, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(tokenizer)
+        lengths = _counter(tokenizer, split)
         for batch in batches:
             counts = np.zeros(batch.num_rows, np.int64)
             texts = pc.fill_null(batch.column(len(kept)).cast(pa.large_string()), "")
             for at in range(0, batch.num_rows, 256):
                 part = texts.slice(at, 256).to_pylist()
-                counts[at : at + len(part)] = [len(e.ids) for e in encoder.encode_batch(part, add_special_tokens=False)]
+                counts[at : at + len(part)] = lengths(part)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=[*kept, into])
 
     return docs.select(*kept, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-_LOADED: dict[str, object] = {}
+@cache
+def _counter(path: str, split: str) -> Callable[[list[str]], list[int]]:
+    """Loaded once in every worker."""
+    if path.endswith(".tiktoken"):
+        import base64
 
+        import tiktoken
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
-        import os
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        encoding = tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True
-    return _LOADED[path]
+    encoder = Tokenizer.from_file(path)
+    encoder.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def running_sum(df: DataFrame, group: str | None, order: list[str], value: str, into: str) -> DataFrame:

@@ -12,7 +12,7 @@ from cantera.llm import canon, cooccurrence, formatting, frequency, leakage, loo
 from cantera.session import table
 
 #: Where the public tokenizer's file lies on every machine.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 

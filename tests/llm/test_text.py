@@ -264,7 +264,8 @@ def test_token_counts(spark):
     except Exception:
         pytest.skip("no tokenizer file here")
     encoder.encode_special_tokens = True
-    texts = ["", None, "plain words", "é 字 <|endoftext|>", "word " * 50_000]
+    texts = ["", None, "plain words", "é 字 <|endoftext|>", "word " * 50_000, "it's  1234\n\n x", "\x00\ufeff 🎵🎵"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit(-1))
-    got = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "text", path).collect()}
-    assert got == {i: len(encoder.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    for file in (path, path.replace(".json", ".tiktoken")):
+        got = {r.doc_id: r.n_tokens for r in mixing.count_tokens(df, "text", file).collect()}
+        assert got == {i: len(encoder.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
