@@ -10,7 +10,7 @@ from cantera.operators.matcher import MOOD_TAGS, MOODS, PRIMARY, SUB, Vocabulary
 from cantera.operators.merge import FRAMES
 from cantera.plans import library as lib
 from cantera.plans import vocab as V
-from cantera.plans.queries import EXCLUDING, RECORDINGS, TARGETS, TEMPI
+from cantera.plans.queries import EXCLUDING, PAYLOADS, RECORDINGS, TARGETS, TEMPI
 
 
 def text(value) -> str:
@@ -462,6 +462,14 @@ ORACLE: dict[str, str] = {
     SELECT row_id, {bar(ordered_distinct("tags"))} AS tags FROM u""",
     "release_json_tags": f"""WITH u AS (SELECT write_id, list_concat(genres, moods) AS tags FROM tag_writes)
     SELECT write_id, {bar(ordered_distinct("tags"))} AS tags FROM u""",
+    "lookup_requests": """WITH t AS (SELECT row_id, replace(url_encode(artist), '%20', '+') AS a, replace(url_encode(album), '%20', '+') AS b,
+            replace(url_encode(title), '%20', '+') AS t, replace(artist, '"', '\\"') AS qa, replace(title, '"', '\\"') AS qt, artist, title FROM track_items)
+    SELECT row_id, 'https://tags.example/' || a || '/+tags' AS artist_page, 'https://tags.example/' || a || '/' || b || '/+tags' AS album_page,
+           'https://tags.example/' || a || '/_/' || t || '/+tags' AS track_page,
+           'https://tags.example/recording?query=' || replace(url_encode('artist:"' || qa || '" AND (recording:"' || qt || '" OR track:"' || qt || '")'), '%2F', '/')
+           || '&fmt=json' AS recording,
+           'https://tags.example/search?q=' || replace(url_encode(artist || ' - ' || title), '%2F', '/') || '&type=release' AS release FROM t""",
+    "awkward_payloads": "SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {n}, {text(t)})" for k, n, _, _, t in PAYLOADS) + ") AS v(kind, number, tags)",
     "catalog_export": f"""SELECT row_id::VARCHAR AS rating_key, title, artist, coalesce(album, '') AS album, coalesce(file_path, '') AS file_path,
         {bar("current_moods")} AS current_moods FROM track_items""",
     "genre_keyword_prefilter": f"WITH {_PLAIN} SELECT row_id, {bar(or_all(GENRE_TAGS, 'tags'))} AS tags FROM plain_rows",

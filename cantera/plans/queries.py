@@ -13,7 +13,7 @@ from cantera.operators.text_pass import with_text
 from cantera.plans import enrich as plan
 from cantera.plans import library as lib
 from cantera.session import table
-from cantera.sources import catalog, payloads
+from cantera.sources import catalog, payloads, requests
 
 #: Tracks take the predictions of so many recordings in turn.
 RECORDINGS = 50
@@ -135,6 +135,46 @@ def release_json_tags(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tag_writes").select("write_id", joined(payloads.release_tags(body)).alias("tags"))
 
 
+@query
+def lookup_requests(spark: SparkSession, d: str) -> DataFrame:
+    base, artist, title = "https://tags.example", F.col("artist"), F.col("title")
+    return table(spark, d, "track_items").select(
+        "row_id", requests.page_url(base, artist).alias("artist_page"), requests.page_url(base, artist, album=F.col("album")).alias("album_page"),
+        requests.page_url(base, artist, title=title).alias("track_page"), requests.recording_url(f"{base}/recording", artist, title).alias("recording"),
+        requests.release_url(f"{base}/search", artist, title, "secret").alias("release"),
+    )
+
+
+#: (kind, number, body, artist, tags): answers as services give them on bad days, and what is to come of them.
+PAYLOADS = (
+    ("page", 1, '<a href="/tag/50%25+off">x</a> <a href="/tag/50%">y</a><a href="/tag/caf%C3%A9">', "", "50% off|50%|café"),
+    ("page", 2, '<a href="/tag/a?x=1">A</a><a href="/tag/A">a</a><a href="/tag/">', "", "a"),
+    ("page", 3, None, "", ""),
+    ("recording", 1, '{"recordings": [{"tags": [{"name": "x"}, {"name": ""}, {}]}]}', "Quell", "x"),
+    ("recording", 2, '{"recordings": [{"artist-credit": [{"name": "Other"}], "tags": [{"name": "x"}]}]}', "Quell", ""),
+    ("recording", 3, '{"recordings": [{"artist-credit": [{"artist": {"name": "The Quell", "genres": [{"name": "g"}]}}],'
+     ' "releases": [{"release-group": {"tags": [{"name": "r"}, {"name": "g"}]}}]}]}', "quell ", "g|r"),
+    ("recording", 4, "{not json", "Quell", ""),
+    ("recording", 5, '{"recordings": []}', "Quell", ""),
+    ("recording", 6, None, "Quell", ""),
+    ("release", 1, '{"results": [{"genre": ["Rock", "Pop"], "style": ["Pop", "Emo"]}, {"genre": ["Jazz"]}]}', "", "Rock|Pop|Emo"),
+    ("release", 2, '{"results": [{"style": null}]}', "", ""),
+    ("release", 3, "[]", "", ""),
+)
+
+
+@query
+def awkward_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Fixed answers with missing credits, broken JSON and stray percent signs."""
+    rows = spark.createDataFrame([p[:4] for p in PAYLOADS], "kind string, number int, body string, artist string")
+    tags = (
+        F.when(F.col("kind") == "page", payloads.page_tags(F.col("body")))
+        .when(F.col("kind") == "recording", payloads.recording_tags(F.col("body"), F.col("artist")))
+        .otherwise(payloads.release_tags(F.col("body")))
+    )
+    return rows.select("kind", "number", F.coalesce(joined(tags), F.lit("")).alias("tags"))
+
+
 @query
 def catalog_export(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue written out as a server's export and read back as track items."""
