@@ -101,7 +101,7 @@ def unprocessed(tracks: DataFrame, state: DataFrame, overwrite: bool = False, ke
 def chosen(tracks: DataFrame, limit: int | None = None, seed: int | None = None, key: str = "rating_key") -> DataFrame:
     """The first ``limit`` tracks by key, or in a random order fixed by the seed."""
     if seed is not None:
-        tracks = tracks.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+        tracks = tracks.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
     elif limit is not None:
         tracks = tracks.orderBy(key)
     return tracks if limit is None else tracks.limit(limit)

@@ -489,6 +489,7 @@ ORACLE: dict[str, str] = {
         AS present FROM track_items""",
     "unprocessed_tracks": "SELECT row_id, rating_key FROM track_items WHERE rating_key NOT IN (SELECT rating_key FROM processed_tracks)",
     "limited_tracks": "SELECT row_id, title FROM track_items ORDER BY row_id LIMIT 100",
+    "random_sample_limit": "SELECT row_id, title FROM track_items ORDER BY md5(concat_ws(':', 7, row_id)), row_id LIMIT 100",
     "lexical_match_scores": f"""WITH {LIBRARY}, {matches("x", "library", "all_tags", SUB)}
     SELECT row_id, target, raw, rank::INT AS rank, round(score, 6) AS score FROM x_hits""",
     "primary_genre_matches": matched(_PLAIN, "plain_rows", "tags", PRIMARY),
