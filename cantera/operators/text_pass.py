@@ -85,6 +85,14 @@ def _vote(found: list[tuple[str, str, float]], tags: list[str]) -> str | None:
     return kept
 
 
+def united(lists: tuple[list[str], ...]) -> list[str]:
+    first: dict[str, str] = {}
+    for tags in lists:
+        for t in tags:
+            first.setdefault(t.lower(), t)
+    return list(first.values())
+
+
 def genre_of(every: list[str]) -> str | None:
     tags = [t for t in every if _of_genre(t)] or every
     return _vote(lookup(PRIMARY).match(tags[:TOP_TAGS], 3), tags)
@@ -118,7 +126,7 @@ def _rows(lists: pa.Array) -> Iterator[list[str]]:
 def with_text(
     df: DataFrame,
     specific: str | None = None,
-    every: str | None = None,
+    every: str | tuple[str, ...] | None = None,
     genre: str | None = None,
     styles: str | None = None,
     moods: str | None = None,
@@ -129,7 +137,9 @@ def with_text(
     ``specific``, else ``every``), ``moods`` and ``gate``, the tags that may name moods
     (both from ``specific``, ``artist`` and ``album``), that are named.
 
-    Null tags are dropped before places are counted; a null list is an empty one.
+    Null tags are dropped before places are counted; a null list is an empty one. Where
+    ``every`` names several columns, their tags are united in this order, the first of each
+    ignoring case.
     """
     schema, columns = T.StructType(list(df.schema.fields)), df.columns
     wanted = [(name, kind) for name, kind in ((genre, T.StringType()), (styles, NAMES), (moods, NAMES), (gate, NAMES)) if name]
@@ -140,7 +150,10 @@ def with_text(
         for batch in batches:
             at = {c: batch.column(i) for i, c in enumerate(columns)}
             own = list(_rows(at[specific])) if specific else None
-            wide = list(_rows(at[every])) if every else None
+            if isinstance(every, tuple):
+                wide = [united(lists) for lists in zip(*(_rows(at[c]) for c in every))]
+            else:
+                wide = list(_rows(at[every])) if every else None
             out = list(batch.columns)
             if genre:
                 out.append(pa.array([genre_of(t) for t in wide], pa.string()))

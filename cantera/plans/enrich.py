@@ -40,7 +40,7 @@ def enrich(
     features: Features = Features(),
     vocabulary: Vocabulary = MOODS,
     specific: str = "specific_tags",
-    every: str = "all_tags",
+    every: str | tuple[str, ...] = "all_tags",
     raw_bpm: str | None = "raw_bpm",
     mood_top: str | None = None,
     genre_top: str | None = None,
@@ -52,7 +52,8 @@ def enrich(
 ) -> DataFrame:
     """Adds genre, sub_genres, genres, bpm, moods, mapped_mood and confidence.
 
-    ``specific`` are the tags of the track itself, ``every`` those of all sources. The
+    ``specific`` are the tags of the track itself, ``every`` those of all sources, in one column
+    or in several that are united. The
     optional columns ``mood_top`` and ``genre_top`` hold audio predictions, whose moods count
     from ``audio_threshold`` on (``audio_labels``: the labels of the mood model, if known). With an ``embedder`` moods are also reached by the
     cosines of its vectors from ``threshold`` on; the column ``similarity`` may hold the

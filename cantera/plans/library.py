@@ -22,6 +22,10 @@ GENRE_LABELS = tuple(
 )
 
 
+#: The tags of a track, its album and its artist, in the order they are united in.
+SOURCES = ("specific_tags", "album_tags", "artist_tags")
+
+
 def drawn_tag(tag: Column, place: Column, row_id: Column) -> Column:
     """A tag of ``DRAWN`` that depends on the tag's length, its place and the row."""
     at = (F.length(tag) * 31 + place * 17 + row_id * 7) % len(DRAWN)

@@ -39,24 +39,28 @@ def tags_of(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """The library's columns that enrichment reads; the Arrow pass carries what it is given."""
-    return lib.library(spark, d).select("row_id", "artist", "album", "specific_tags", "all_tags", "raw_bpm", *more)
+    return lib.library(spark, d).select("row_id", "artist", "album", *lib.SOURCES, "raw_bpm", *more)
+
+
+def _enriched(rows: DataFrame, **options) -> DataFrame:
+    return plan.enrich(rows, every=lib.SOURCES, **options)
 
 
 @query
 def flagship_enrich(spark: SparkSession, d: str) -> DataFrame:
-    out = plan.enrich(_tagged(spark, d))
+    out = _enriched(_tagged(spark, d))
     return out.select("row_id", "genre", joined("sub_genres").alias("sub_genres"), "bpm", joined("moods").alias("moods"),
                       "mapped_mood", "confidence")
 
 
 @query
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
-    return plan.run_summary(plan.enrich(_tagged(spark, d)))
+    return plan.run_summary(_enriched(_tagged(spark, d)))
 
 
 @query
 def before_after_report(spark: SparkSession, d: str) -> DataFrame:
-    out = plan.report(plan.enrich(_tagged(spark, d, "title", "current_moods")).withColumn("rating_key", F.col("row_id").cast("string")))
+    out = plan.report(_enriched(_tagged(spark, d, "title", "current_moods")).withColumn("rating_key", F.col("row_id").cast("string")))
     return out.select("rating_key", "genres_before", "genres_after", "moods_before", "moods_after", "bpm_after")
 
 
@@ -343,9 +347,9 @@ def primary_genre_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _styled(spark: SparkSession, d: str, drawn: bool = False) -> DataFrame:
-    rows = lib.drawn_library(spark, d) if drawn else lib.library(spark, d)
-    rows = rows.select("row_id", "artist", "album", "specific_tags", "all_tags", "raw_bpm")
-    rows = with_text(rows, "specific_tags", "all_tags", genre="genre", styles="sub_genres")
+    rows, every = (lib.drawn_library(spark, d), "all_tags") if drawn else (lib.library(spark, d), lib.SOURCES)
+    rows = rows.select("row_id", "artist", "album", "raw_bpm", *(("specific_tags", "all_tags") if drawn else lib.SOURCES))
+    rows = with_text(rows, "specific_tags", every, genre="genre", styles="sub_genres")
     return rows.withColumn("bpm", audio.whole_bpm(F.col("raw_bpm")))
 
 
@@ -501,7 +505,7 @@ def audio_genre_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Genre and styles with audio predictions to fall back on where the tags name no genre."""
     rows = _tagged(spark, d).withColumn("key", (F.col("row_id") % RECORDINGS).cast("int"))
     rows = rows.join(lib.genre_recordings(spark, d), "key", "left")
-    out = plan.enrich(rows, plan.Features(mood=False, bpm=False), genre_top="genre_top")
+    out = _enriched(rows, features=plan.Features(mood=False, bpm=False), genre_top="genre_top")
     return out.select("row_id", "genre", joined("sub_genres").alias("sub_genres"))
 
 
