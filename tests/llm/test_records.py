@@ -156,6 +156,63 @@ def test_crowded_endings_lose_no_pair(spark):
     assert len(got) < len(made) * (len(made) - 1) / 4
 
 
+def met(spark, made):
+    rows = spark.createDataFrame([(n, n.split()) for n in made], "name string, words array<string>")
+    return {tuple(r) for r in names.candidate_pairs(rows).collect()}
+
+
+def test_names_on_frequent_words_meet_in_proportion(spark):
+    """Names that differ in one word of three, and initials of it, among others on the same two."""
+    own = random.Random(9)
+    groups = {"".join(own.choice(x) for x in ("bdfgklmnprstvz", "aeiou") * 5) for _ in range(400)}
+    made = sorted({n for i, g in enumerate(sorted(groups)) for n in (f"{g} lantern quartet", *[f"{g} {g[0]} quartet", f"{g[:4]}{g[5:]} lantern quartet"][: i % 3])})
+    got = met(spark, made)
+    assert len(got) < 20 * len(made)
+    linked = {(a, b) for a, b in combinations(made, 2) if a[-4:] == b[-4:] and names.same_name(a, b)[0]}
+    assert linked <= got and len(linked) > 100
+
+
+def test_crowded_names_of_many_words_lose_no_pair(spark):
+    """Against all pairs, with words mistyped beyond likeness, joined, cut to an initial or left out."""
+    own = random.Random(6)
+    made = {"bo lantern quartet", "xy lantern quartet", "hosteribak lantern kwrtt", "bora bora trio", "bora boda trio", "b bora trio"}
+    names_of = ["marolin jotun lantern quartet", "hosteribak lantern quartet", "bora bora lantern quartet", "lantern quartet", "io lantern quartet",
+                "a b c lantern quartet of seven", "one two three four five lantern quartet", "marolin j lantern quartet"]
+    for _ in range(260):
+        words = own.choice(names_of).split()
+        for _ in range(own.randint(0, 3)):
+            at = own.randrange(len(words))
+            i = own.randrange(len(words[at]) + 1)
+            kind = own.randrange(6)
+            if kind == 0 and at:
+                words[at - 1 : at + 1] = [words[at - 1] + words[at]]
+            elif kind == 1:
+                words[at] = words[at][0]
+            elif kind == 2 and len(words) > 2:
+                del words[at]
+            else:
+                words[at] = words[at][:i] + own.choice(["", "a", "mo"]) + words[at][i + own.randint(0, 2) :] or "m"
+        if own.random() < 0.3:
+            own.shuffle(words)
+        made.add(" ".join(words))
+    made = sorted(made)
+    ends = {n: {w[-4:] for w in n.split() if len(w) > 1} for n in made}
+    linked = {(a, b) for a, b in combinations(made, 2) if ends[a] & ends[b] and names.same_name(a, b)[0]}
+    assert not linked - met(spark, made) and len(linked) > 1000
+
+
+def test_rests_of_nearly_alike_names_have_a_key_in_common():
+    own = random.Random(8)
+    for _ in range(4000):
+        a, b = ("".join(own.choice("abc") for _ in range(own.randint(1, 17))) for _ in range(2))
+        if own.random() < 0.6:
+            i = own.randrange(len(a) + 1)
+            b = a[:i] + own.choice(["", "x", "yz"]) + a[i + own.randint(0, 3) :] or "b"
+        more = own.randint(2, 30)
+        if 2 * (names.common_subsequence(a, b) + more) >= 0.9 * (len(a) + len(b) + 2 * more):
+            assert names._nearly_keys(a, len(a) + more) & names._nearly_keys(b, len(b) + more), (a, b, more)
+
+
 def test_names_of_short_words(spark):
     groups = [["Kate Bush", "Bush, Kate", "K. Bush", "Kate Bsuh", "Kate M. Bush"], ["Nick Cave", "Cave, Nick"], ["Jay Z", "Z, Jay"], ["Max Roy", "Roy, Max", "M. Roy"],
               ["Kyle Rush"], ["Rush"], ["Bush"], ["K. Fox"], ["Kate Fox"], ["Kyle Fox"]]
